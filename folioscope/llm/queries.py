@@ -7,12 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, table
+from ..session import cut_lineage, prepare, table
+from .components import file_column, grouped_splits, record_keys, related_groups, tied_records
 from .corpus_ids import decode_corpus, encode_corpus
+from .cross_split import cross_split_pairs, cross_split_report
+from .long_spans import shared_part, shared_stretches
 from .packing import CAPACITY, container_fill, pack_texts
 from .token_budget import document_tokens, token_budget
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return cross_split_pairs(table(spark, folder, "writing_samples"), "sample_id", "text", "split")
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return cross_split_report(table(spark, folder, "writing_samples"), table(spark, folder, "manifest"), "sample_id", "text", "split", file_column(F.col("source")))
+
+
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    keys = record_keys(table(spark, folder, "writing_samples"), "sample_id", "source", "author", "text", table(spark, folder, "entities"))
+    return related_groups(keys, "sample_id")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return tied_records(_groups(spark, folder), "sample_id")
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped_splits(cut_lineage(_groups(spark, folder)), "sample_id")
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples and completions as (rec_kind, rec_id, text)."""
+    prepare(spark)
+    samples = table(spark, folder, "writing_samples").select(F.lit("sample").alias("rec_kind"), F.col("sample_id").alias("rec_id"), "text")
+    completions = table(spark, folder, "eval_completions").select(F.lit("completion").alias("rec_kind"), F.col("completion_id").alias("rec_id"), F.col("grpo_completion").alias("text"))
+    return samples.unionByName(completions)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_stretches(_records(spark, folder)).drop("n_chars")
+
+
+def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_part(shared_stretches(_records(spark, folder)))
+
+
 def p6_budget(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return token_budget(table(spark, folder, "blog_en"), table(spark, folder, "source_domains"), "blog_id", "text", "source", "language")
