@@ -11,6 +11,8 @@ from ..session import cut_lineage, prepare, table
 from .components import file_column, grouped_splits, record_keys, related_groups, tied_records
 from .corpus_ids import decode_corpus, encode_corpus
 from .cross_split import cross_split_pairs, cross_split_report
+from .encoding_repair import find_garbled
+from .language import fit_profiles, language_segments, text_languages, unnamed_languages
 from .long_spans import shared_part, shared_stretches
 from .packing import CAPACITY, container_fill, pack_texts
 from .token_budget import document_tokens, token_budget
@@ -56,6 +58,29 @@ def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shared_part(shared_stretches(_records(spark, folder)))
 
 
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments of blog and probe texts; profiles from the labelled rows of
+    both and of documents."""
+    prepare(spark)
+    blog = table(spark, folder, "blog_en").select(F.lit("blog_en").alias("rec_kind"), F.col("blog_id").cast("string").alias("rec_key"), "text", F.col("language").alias("lang"))
+    probes = table(spark, folder, "probe_texts").select(F.lit("probe_texts").alias("rec_kind"), F.col("id").alias("rec_key"), "text", "lang")
+    texts = blog.unionByName(probes)
+    labelled = texts.select("text", "lang").unionByName(table(spark, folder, "documents").select("text", "lang"))
+    return language_segments(texts, ["rec_kind", "rec_key"], "text", "lang", fit_profiles(labelled, "text", "lang"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return unnamed_languages(_segments(spark, folder), ["rec_kind", "rec_key"])
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return _segments(spark, folder)
+
+
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return text_languages(_segments(spark, folder), ["rec_kind", "rec_key"])
+
+
 def p6_budget(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return token_budget(table(spark, folder, "blog_en"), table(spark, folder, "source_domains"), "blog_id", "text", "source", "language")
@@ -92,6 +117,15 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill.agg(F.count(F.lit(1)).alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("used"), (F.count(F.lit(1)) * CAPACITY - F.coalesce(F.sum("used"), F.lit(0))).alias("room_left"), F.max("used").alias("fullest"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_restored(spark, folder).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    return find_garbled(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
