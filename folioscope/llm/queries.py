@@ -11,6 +11,7 @@ from ..session import cut_lineage, prepare, table
 from .components import file_column, grouped_splits, record_keys, related_groups, tied_records
 from .corpus_ids import decode_corpus, encode_corpus
 from .cross_split import cross_split_pairs, cross_split_report
+from .cutoff import cut_rates, cut_records
 from .encoding_repair import find_garbled
 from .language import fit_profiles, language_segments, text_languages, unnamed_languages
 from .long_spans import shared_part, shared_stretches
@@ -81,6 +82,28 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
     return text_languages(_segments(spark, folder), ["rec_kind", "rec_key"])
 
 
+def _cut(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples by source file, completions by model; a run in no table gives
+    its completions no model."""
+    prepare(spark)
+    samples = table(spark, folder, "writing_samples").select(F.lit("sample").alias("rec_kind"), F.col("sample_id").alias("rec_id"), file_column(F.col("source")).alias("origin"), "text")
+    models = table(spark, folder, "eval_runs").groupBy("run_id").agg(F.max("model").alias("origin"))
+    completions = table(spark, folder, "eval_completions").join(models, "run_id", "left").select(F.lit("completion").alias("rec_kind"), F.col("completion_id").alias("rec_id"), "origin", F.col("grpo_completion").alias("text"))
+    return cut_records(samples.unionByName(completions))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder).filter("cut").select("rec_kind", "rec_id")
+
+
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder)
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return cut_rates(_cut(spark, folder))
+
+
 def p6_budget(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return token_budget(table(spark, folder, "blog_en"), table(spark, folder, "source_domains"), "blog_id", "text", "source", "language")
