@@ -29,7 +29,7 @@ PROPORTIONS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 def author_key(name: str | None) -> str | None:
     """A full name however written: case, accents and spacing aside, and
     ``Last, First`` turned round."""
-    parts = [p for p in ((name or "").replace(" ", " ")).split(",")]
+    parts = [p for p in ((name or "").replace("\xa0", " ")).split(",")]
     ordered = parts[1:] + parts[:1] if len(parts) == 2 and all(canonical_words(p) for p in parts) else parts
     return " ".join(w for p in ordered for w in canonical_words(p)) or None
 

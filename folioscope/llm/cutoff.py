@@ -57,14 +57,14 @@ _MARKS = re.compile(
         [—–-]\s*\d+\s*[—–-] | \*{3,} | -{3,} | ={3,} | ~{3,} | \#{3,} |   # page numbers, rules
         P\.\s?[SD]\.[^\n]{0,60} | PS:[^\n]{0,60} |           # postscripts
         \(\d{1,4}\) | \[\d+\] | \[(?:fin|end|fine|ende|fim)\] | (?:FIN|THE\ END) |
-        [←-⯿☀-➿️‍\U0001f000-\U0001faff]+ )\s*)+$""",
+        [←-⯿️‍\U0001f000-\U0001faff]+ )\s*)+$""",
     re.VERBOSE | re.IGNORECASE,
 )
 _SIGN = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|<\s*(?:\.\.\.|…)\s*>|\[(?:truncated|cut|continued|continúa|sigue)\]|\(cont\.?\))$", re.IGNORECASE)
 _DOTS = re.compile(r"\s*(?:\.{3,}|…)$")
 _BROKEN = re.compile(r"(?:�+|&#?\w{1,6}|%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|<[/a-zA-Z!][^<>]{0,60})$")
 _TERMINATED = re.compile(r"[.!?。！？:][\"'”’»)\]}›\s]*$")
-_BREAK = re.compile(r"\n|\r| | |\x85")
+_BREAK = re.compile(r"\n|\r|\u2028|\u2029|\x85")
 
 
 ENDING_FIELDS = "n_chars int, n_bytes int, state string, word string, verse boolean, styled boolean, unclosed boolean"
