@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 # Words that carry no content in either language.
 STOPWORDS = ["a", "an", "and", "as", "at", "con", "de", "del", "el", "en", "for", "in", "la", "los", "of", "para", "por", "the", "to", "un", "una", "with", "y"]
 
@@ -22,8 +24,12 @@ def content_tokens(text: Column) -> Column:
 def windows(tokens: Column, n: int | Column) -> Column:
     """All n-grams in order, tokens joined by spaces; empty where too short."""
     n = F.lit(n) if isinstance(n, int) else n
-    starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    return F.when((n > 0) & (F.size(tokens) >= n), F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(_none())
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(t) - n + 1)
+        return F.when((n > 0) & (F.size(t) >= n), F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(_none())
+
+    return bind(tokens, cut)
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -34,10 +40,12 @@ def ngrams(tokens: Column, n: int) -> Column:
 def copied_positions(tokens: Column, other: Column, n: Column) -> Column:
     """Places (from 0) of ``tokens`` that lie in a run of ``n`` tokens which
     also stands in ``other``; none if ``n`` is below 2."""
-    theirs, own = windows(other, n), windows(tokens, n)
-    starts = F.filter(F.transform(own, lambda w, i: F.when(F.array_contains(theirs, w), i)), lambda i: i.isNotNull())
-    places = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + n - 1))))
-    return F.when((n >= 2) & (F.size(other) >= n), places).otherwise(F.array().cast("array<int>"))
+
+    def places(theirs: Column) -> Column:
+        starts = F.filter(F.transform(windows(tokens, n), lambda w, i: F.when(F.array_contains(theirs, w), i)), lambda i: i.isNotNull())
+        return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + n - 1))))
+
+    return F.when((n >= 2) & (F.size(other) >= n), bind(windows(other, n), places)).otherwise(F.array().cast("array<int>"))
 
 
 def run_length(seed: Column, run: int) -> Column:

@@ -6,6 +6,8 @@ methods use; Java's ``\\s`` alone would miss most of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,13 @@ ES_MARKERS = ["de", "la", "el", "que", "y", "en", "los", "un", "una", "para", "c
 EN_MARKERS = ["the", "of", "and", "to", "in", "is", "that", "it", "for", "with", "on", "a"]
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used: a
+    repeated expression would be evaluated at each place, in lambdas even for
+    each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -39,11 +48,12 @@ def word_count(text: Column) -> Column:
 
 
 def remove_urls(text: Column) -> Column:
-    return F.regexp_replace(text, f"https?://[^{SPACE}]+", "")
+    return F.when(text.contains("http"), F.regexp_replace(text, f"https?://[^{SPACE}]+", "")).otherwise(text)
 
 
 def remove_emails(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[^{SPACE}]+@[^{SPACE}]+\.[^{SPACE}]+", "")
+    # the pattern tries every character as a start: only texts that can match pay for it
+    return F.when(text.contains("@"), F.regexp_replace(text, rf"[^{SPACE}]+@[^{SPACE}]+\.[^{SPACE}]+", "")).otherwise(text)
 
 
 def normalize_space(text: Column) -> Column:
@@ -58,19 +68,20 @@ def collapse_punctuation(text: Column) -> Column:
 def truncate(text: Column, limit: int = MAX_LENGTH, share: float = KEEP_WORD_FROM) -> Column:
     """At most ``limit`` characters, ending before the last space if that lies
     beyond ``share`` of the limit."""
-    head = F.substring(text, 1, limit)
-    from_end = F.instr(F.reverse(head), " ")
-    space = F.lit(limit) - from_end
-    cut = F.when((from_end > 0) & (space > limit * share), F.substring(head, F.lit(1), space)).otherwise(head)
-    return F.when(F.length(text) > limit, cut).otherwise(text)
+
+    def cut(head: Column) -> Column:
+        space = F.lit(limit) - F.instr(F.reverse(head), " ")
+        return F.when(head.contains(" ") & (space > limit * share), F.substring(head, F.lit(1), space)).otherwise(head)
+
+    return bind(text, lambda t: F.when(F.length(t) > limit, bind(F.substring(t, 1, limit), cut)).otherwise(t))
 
 
 def clean(text: Column, urls: bool = True, emails: bool = True, spaces: bool = True, limit: int = MAX_LENGTH) -> Column:
     """The cleaning steps in their fixed order; null stays null."""
     if urls:
-        text = remove_urls(text)
+        text = bind(text, remove_urls)
     if emails:
-        text = remove_emails(text)
+        text = bind(text, remove_emails)
     if spaces:
         text = normalize_space(text)
     return truncate(collapse_punctuation(text), limit)
@@ -85,19 +96,23 @@ def is_verse(text: Column, lines: int = VERSE_LINES) -> Column:
 def infer_language(text: Column) -> Column:
     """``en`` if English hints outnumber Spanish ones (an accent or inverted
     sign counts as two), else ``es``; other languages fall to either."""
-    low = F.lower(text)
-    tokens = F.regexp_extract_all(low, F.lit("([a-zA-Záéíóúñü]+)"), F.lit(1))
-    english = F.size(F.filter(tokens, lambda t: t.isin(EN_HINTS)))
-    spanish = F.size(F.filter(tokens, lambda t: t.isin(ES_HINTS))) + F.when(low.rlike("[áéíóúñ¿¡]"), 2).otherwise(0)
-    return F.when((F.size(tokens) > 0) & (english > spanish), "en").otherwise("es")
+
+    def judge(low: Column) -> Column:
+        tokens = F.regexp_extract_all(low, F.lit("([a-zA-Záéíóúñü]+)"), F.lit(1))
+        accent = F.when(low.rlike("[áéíóúñ¿¡]"), 2).otherwise(0)
+        score = lambda t: F.when(t.isin(EN_HINTS), 1).when(t.isin(ES_HINTS), -1).otherwise(0)
+        lead = F.aggregate(tokens, F.lit(0), lambda total, t: total + score(t))
+        return F.when(lead > accent, "en").otherwise("es")
+
+    return bind(F.lower(text), judge)
 
 
 def detect_language(text: Column) -> Column:
     """By function words alone, punctuation at word ends aside; ties are Spanish."""
     tokens = F.transform(word_list(text), lambda w: F.lower(F.regexp_replace(w, r"""^[.,;:!?¿¡"'()]+|[.,;:!?¿¡"'()]+$""", "")))
-    spanish = F.size(F.filter(tokens, lambda t: t.isin(ES_MARKERS)))
-    english = F.size(F.filter(tokens, lambda t: t.isin(EN_MARKERS)))
-    return F.when(spanish >= english, "es").otherwise("en")
+    count = lambda t: F.when(t.isin(ES_MARKERS), 1).otherwise(0) - F.when(t.isin(EN_MARKERS), 1).otherwise(0)
+    lead = F.aggregate(tokens, F.lit(0), lambda total, t: total + count(t))
+    return F.when(lead >= 0, "es").otherwise("en")
 
 
 def display(text: Column, width: int = 80) -> Column:

@@ -16,13 +16,13 @@ def process(df: DataFrame, text: str, order: str, **options: object) -> DataFram
     """Cleans ``text``, drops empty results and keeps, of equal texts, the row
     with the least ``order``. Null texts are dropped; the text column comes last.
 
-    The survivor is found on (hash, order) alone, so the texts cross the
-    network once, and a text that a third of the rows share is reduced before
-    the shuffle."""
-    cleaned = df.withColumn("__clean", clean(F.col(text), **options)).filter(F.length("__clean") > 0).withColumn("__md5", F.md5("__clean"))
-    first = cleaned.groupBy("__md5").agg(F.min(order).alias("__first"))
-    kept = cleaned.join(first, ["__md5"]).filter(F.col(order).eqNullSafe(F.col("__first")))
-    return kept.dropDuplicates(["__md5"]).drop(text, "__md5", "__first").withColumnRenamed("__clean", text)
+    One aggregation on the hash: copies are reduced before the shuffle, so a
+    text that a third of the rows share costs one row per task."""
+    columns = [c for c in df.columns if c != text]
+    cleaned = df.withColumn("__clean", clean(F.col(text), **options)).filter(F.length("__clean") > 0)
+    row = F.struct(*columns, F.col("__clean").alias(text))
+    first = cleaned.withColumn("__md5", F.md5("__clean")).groupBy("__md5").agg(F.min_by(row, F.struct(F.col(order), F.xxhash64(*columns))).alias("__row"))
+    return first.select("__row.*")
 
 
 def bin_edges(df: DataFrame, count: str, bins: int = BINS) -> DataFrame:

@@ -43,7 +43,7 @@ def _completions(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "eval_completions"), "completion_id", "loaded_at")
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, so that the order of a sum does not show."""
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -60,7 +60,7 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT min(doc_id) AS doc_id, md5(c) AS text_md5, count(*) AS copies FROM (SELECT doc_id, {sql.clean('text')} AS c FROM documents) WHERE length(c) > 0 GROUP BY c")
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = table(spark, folder, "documents").select("doc_id", F.md5(tx.clean(DOC)).alias("text_md5"), F.length(tx.clean(DOC)).alias("n")).filter("n > 0")
+    cleaned = table(spark, folder, "documents").withColumn("c", tx.clean(DOC)).select("doc_id", F.md5("c").alias("text_md5"), F.length("c").alias("n")).filter("n > 0")
     return cleaned.groupBy("text_md5").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
@@ -172,8 +172,7 @@ def detect_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {sql.SEEDS} SELECT sample_id, seed, continuation FROM seeds")
 def seed_split(spark: SparkSession, folder: str) -> DataFrame:
-    seed, continuation = pr.seed_and_continuation(DOC)
-    return _texts(spark, folder).select("sample_id", seed.alias("seed"), continuation.alias("continuation"))
+    return _texts(spark, folder).withColumn("p", pr.seed_and_continuation(DOC)).select("sample_id", "p.seed", "p.continuation")
 
 
 _STYLE = "coalesce(style, 'standard')"
@@ -182,18 +181,16 @@ _STYLE = "coalesce(style, 'standard')"
 @query(f"WITH {sql.SEEDS} SELECT sample_id, {sql.control_prompt('seed', _STYLE, sql.infer_language('t'))} AS prompt, seed AS raw_prompt, {_STYLE} AS style, {sql.infer_language('t')} AS language FROM seeds WHERE label = 1 AND {sql.words('seed')} >= 5 ORDER BY sample_id LIMIT 500")
 def control_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """The first 500 prompts by id: the limit is the feature."""
-    seed, _ = pr.seed_and_continuation(DOC)
     style = F.coalesce("style", F.lit("standard"))
     language = tx.infer_language(tx.strip(DOC))
-    rows = _texts(spark, folder).filter("label = 1").select("sample_id", seed.alias("raw_prompt"), style.alias("style"), language.alias("language"))
+    rows = _texts(spark, folder).filter("label = 1").select("sample_id", pr.seed_and_continuation(DOC)["seed"].alias("raw_prompt"), style.alias("style"), language.alias("language"))
     rows = rows.filter(tx.word_count(F.col("raw_prompt")) >= 5).orderBy("sample_id").limit(500)
     return rows.select("sample_id", pr.control_prompt(F.col("raw_prompt"), F.col("style"), F.col("language")).alias("prompt"), "raw_prompt", "style", "language")
 
 
 @query(f"WITH {sql.SEEDS} SELECT sample_id, {sql.control_prompt('seed', _STYLE, sql.infer_language('t'))} AS prompt, continuation AS completion FROM seeds WHERE label = 1 AND split = 'train' AND {sql.words('seed')} >= 5 AND {sql.words('continuation')} >= 5")
 def sft_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    seed, continuation = pr.seed_and_continuation(DOC)
-    rows = _texts(spark, folder).filter("label = 1 and split = 'train'").select("sample_id", seed.alias("seed"), continuation.alias("completion"), F.coalesce("style", F.lit("standard")).alias("style"), tx.infer_language(tx.strip(DOC)).alias("language"))
+    rows = _texts(spark, folder).filter("label = 1 and split = 'train'").withColumn("p", pr.seed_and_continuation(DOC)).select("sample_id", "p.seed", F.col("p.continuation").alias("completion"), F.coalesce("style", F.lit("standard")).alias("style"), tx.infer_language(tx.strip(DOC)).alias("language"))
     rows = rows.filter((tx.word_count(F.col("seed")) >= 5) & (tx.word_count(F.col("completion")) >= 5))
     return rows.select("sample_id", pr.control_prompt(F.col("seed"), F.col("style"), F.col("language")).alias("prompt"), "completion")
 
@@ -228,10 +225,10 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _part(name: str, column: str, weight: float) -> None:
-    sql_text = f"WITH {sql.REWARDS} SELECT completion_id, round({column} / {weight}, 6) AS {name} FROM rewards"
+    sql_text = f"WITH {sql.REWARDS} SELECT completion_id, round({column} / {weight}, 9) AS {name} FROM rewards"
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _scored(spark, folder).select("completion_id", F.round(F.col(column) / weight, 6).alias(name))
+        return _scored(spark, folder).select("completion_id", F.round(F.col(column) / weight, 9).alias(name))
 
     run.__name__ = name
     query(sql_text)(run)
@@ -241,15 +238,15 @@ for _name, _column, _weight in (("repetition_penalty", "repetition_penalty", 0.1
     _part(_name, _column, _weight)
 
 
-@query("SELECT completion_id, round(max(1 / (1 + exp(-ln(least(greatest(grpo_style_score, 1e-5), 1 - 1e-5) / (1 - least(greatest(grpo_style_score, 1e-5), 1 - 1e-5))) / 2))), 6) AS scaled FROM eval_completions GROUP BY 1")
+@query("SELECT completion_id, round(max(1 / (1 + exp(-ln(least(greatest(grpo_style_score, 1e-5), 1 - 1e-5) / (1 - least(greatest(grpo_style_score, 1e-5), 1 - 1e-5))) / 2))), 9) AS scaled FROM eval_completions GROUP BY 1")
 def temperature_scale(spark: SparkSession, folder: str) -> DataFrame:
-    return _completions(spark, folder).select("completion_id", F.round(rw.temperature_scale(F.col("grpo_style_score"), 2.0), 6).alias("scaled"))
+    return _completions(spark, folder).select("completion_id", F.round(rw.temperature_scale(F.col("grpo_style_score"), 2.0), 9).alias("scaled"))
 
 
 _PARTS = ["total", "raw_style_prob", *rw.COMPONENTS]
 
 
-@query(f"WITH {sql.REWARDS} SELECT completion_id, {', '.join(f'round({c}, 6) AS {c}' for c in _PARTS)} FROM rewards")
+@query(f"WITH {sql.REWARDS} SELECT completion_id, {', '.join(f'round({c}, 9) AS {c}' for c in _PARTS)} FROM rewards")
 def reward_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_scored(spark, folder).select("completion_id", *_PARTS))
 
@@ -265,17 +262,17 @@ _STD = "CASE WHEN max({0}) = min({0}) THEN 0.0 ELSE coalesce(stddev_samp({0}), 0
 _GROUPED = f"{sql.GROUPS}, grouped AS (SELECT run_id, group_no, count(*) AS size, avg(total) AS mean, {_STD.format('total')} AS std, min(total) AS min, max(total) AS max, {', '.join(f'{_STD.format(c)} AS std_{c}' for c in rw.COMPONENTS)} FROM numbered GROUP BY 1, 2)"
 
 
-@query(f"WITH {_GROUPED} SELECT run_id, group_no, size, round(mean, 6) AS mean, round(std, 6) AS std, round(min, 6) AS min, round(max, 6) AS max, {', '.join(f'round(std_{c}, 6) AS std_{c}' for c in rw.COMPONENTS)}, std < 0.01 AS is_dead FROM grouped")
+@query(f"WITH {_GROUPED} SELECT run_id, group_no, size, round(mean, 9) AS mean, round(std, 9) AS std, round(min, 9) AS min, round(max, 9) AS max, {', '.join(f'round(std_{c}, 9) AS std_{c}' for c in rw.COMPONENTS)}, std < 0.01 AS is_dead FROM grouped")
 def reward_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(scoring.summarize_groups(_breakdowns(spark, folder), ["run_id", "group_no"]))
 
 
-@query(f"WITH {sql.GROUPS}, s AS (SELECT *, avg(total) OVER g AS m, stddev_samp(total) OVER g AS sd, max(total) OVER g = min(total) OVER g AS flat FROM numbered WINDOW g AS (PARTITION BY run_id, group_no)) SELECT completion_id, group_no, round(CASE WHEN flat OR sd IS NULL THEN 0.0 ELSE (total - m) / sd END, 6) AS advantage FROM s")
+@query(f"WITH {sql.GROUPS}, s AS (SELECT *, avg(total) OVER g AS m, stddev_samp(total) OVER g AS sd, max(total) OVER g = min(total) OVER g AS flat FROM numbered WINDOW g AS (PARTITION BY run_id, group_no)) SELECT completion_id, group_no, round(CASE WHEN flat OR sd IS NULL THEN 0.0 ELSE (total - m) / sd END, 9) AS advantage FROM s")
 def group_advantage(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(scoring.advantages(_breakdowns(spark, folder), ["run_id", "group_no"]).select("completion_id", "group_no", "advantage"))
 
 
-_SUMMARY = f"count(*) AS groups, round(avg(std), 6) AS std_mean, round(min(std), 6) AS std_min, round(max(std), 6) AS std_max, round(avg(mean), 6) AS reward_mean, count(*) FILTER (std < 0.01) AS dead_groups, round(count(*) FILTER (std < 0.01) / count(*), 6) AS dead_fraction, {', '.join(f'round(avg(std_{c}), 6) AS spread_{c}' for c in rw.COMPONENTS)}"
+_SUMMARY = f"count(*) AS groups, round(avg(std), 9) AS std_mean, round(min(std), 9) AS std_min, round(max(std), 9) AS std_max, round(avg(mean), 9) AS reward_mean, count(*) FILTER (std < 0.01) AS dead_groups, round(count(*) FILTER (std < 0.01) / count(*), 9) AS dead_fraction, {', '.join(f'round(avg(std_{c}), 9) AS spread_{c}' for c in rw.COMPONENTS)}"
 
 
 @query(f"WITH {_GROUPED} SELECT run_id, {_SUMMARY} FROM grouped GROUP BY 1")
@@ -293,7 +290,7 @@ def components_without_spread(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.run_summary(groups, ["run_id"]).select("run_id", F.explode("without_spread").alias("component"))
 
 
-@query(f"WITH {sql.COMPLETIONS}, b AS (SELECT run_id, floor(pos / 4)::INT AS group_no, grpo_reward_breakdown.total AS total FROM completions WHERE grpo_reward_breakdown IS NOT NULL) SELECT run_id, group_no, count(*) AS size, round(avg(total), 6) AS mean FROM b GROUP BY 1, 2")
+@query(f"WITH {sql.COMPLETIONS}, b AS (SELECT run_id, floor(pos / 4)::INT AS group_no, grpo_reward_breakdown.total AS total FROM completions WHERE grpo_reward_breakdown IS NOT NULL) SELECT run_id, group_no, count(*) AS size, round(avg(total), 9) AS mean FROM b GROUP BY 1, 2")
 def reward_chunks(spark: SparkSession, folder: str) -> DataFrame:
     rows = _completions(spark, folder).filter("grpo_reward_breakdown is not null").select("run_id", "pos", "grpo_reward_breakdown.total")
     return _rounded(scoring.group_chunks(rows, "pos", 4).groupBy("run_id", "group_no").agg(F.count(F.lit(1)).alias("size"), F.avg("total").alias("mean")))
@@ -304,13 +301,13 @@ def reward_chunks(spark: SparkSession, folder: str) -> DataFrame:
 _GRAMS = f"{sql.COMPLETIONS}, w AS (SELECT run_id, {sql.word_list('lower(grpo_completion)')} AS ws FROM completions WHERE grpo_completion IS NOT NULL)"
 
 
-@query(f"WITH {_GRAMS}, g1 AS (SELECT run_id, unnest({sql.windows('ws', 1)}) AS g FROM w), g2 AS (SELECT run_id, unnest({sql.windows('ws', 2)}) AS g FROM w) SELECT run_id, round(d1, 6) AS distinct_1, round(d2, 6) AS distinct_2 FROM (SELECT run_id, count(DISTINCT g) / count(*) AS d1 FROM g1 GROUP BY 1) JOIN (SELECT run_id, count(DISTINCT g) / count(*) AS d2 FROM g2 GROUP BY 1) USING (run_id)")
+@query(f"WITH {_GRAMS}, g1 AS (SELECT run_id, unnest({sql.windows('ws', 1)}) AS g FROM w), g2 AS (SELECT run_id, unnest({sql.windows('ws', 2)}) AS g FROM w) SELECT run_id, round(d1, 9) AS distinct_1, round(d2, 9) AS distinct_2 FROM (SELECT run_id, count(DISTINCT g) / count(*) AS d1 FROM g1 GROUP BY 1) JOIN (SELECT run_id, count(DISTINCT g) / count(*) AS d2 FROM g2 GROUP BY 1) USING (run_id)")
 def distinct_n(spark: SparkSession, folder: str) -> DataFrame:
     rows = _completions(spark, folder).filter("grpo_completion is not null")
     return _rounded(evaluation.distinct_n(rows, "grpo_completion", 1, ["run_id"]).join(evaluation.distinct_n(rows, "grpo_completion", 2, ["run_id"]), "run_id"))
 
 
-_STYLE_SQL = f"round(avg(grpo_style_score), 6) AS style_score_mean, round(stddev_pop(grpo_style_score), 6) AS style_score_std, min(grpo_style_score) AS style_score_min, max(grpo_style_score) AS style_score_max, round(avg({sql.words('grpo_completion')}), 6) AS avg_words, min({sql.words('grpo_completion')})::INT AS min_words, max({sql.words('grpo_completion')})::INT AS max_words"
+_STYLE_SQL = f"round(avg(grpo_style_score), 9) AS style_score_mean, round(stddev_pop(grpo_style_score), 9) AS style_score_std, min(grpo_style_score) AS style_score_min, max(grpo_style_score) AS style_score_max, round(avg({sql.words('grpo_completion')}), 9) AS avg_words, min({sql.words('grpo_completion')})::INT AS min_words, max({sql.words('grpo_completion')})::INT AS max_words"
 
 
 @query(f"WITH {sql.COMPLETIONS} SELECT run_id, {_STYLE_SQL} FROM completions GROUP BY 1")
@@ -325,7 +322,7 @@ def metrics_by_language(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluation.style_stats(rows, "grpo_style_score", ["language"]).join(evaluation.length_stats(rows, "grpo_completion", ["language"]), "language"))
 
 
-_LENGTHS = f"{sql.TEXTS}, r AS (SELECT {sql.detect_language('text')} AS language, {sql.words('text')} AS words, floor(length(text) / 4.0)::BIGINT AS tokens FROM texts WHERE label = 1), l AS (SELECT language, count(*) AS n, round(avg(tokens / words) FILTER (words > 0), 6) AS tokens_per_word, max(tokens) AS max_tokens, round(count(*) FILTER (tokens > 60) / count(*), 6) AS over_budget, list(words) AS ws, list(tokens) AS ts FROM r GROUP BY 1)"
+_LENGTHS = f"{sql.TEXTS}, r AS (SELECT {sql.detect_language('text')} AS language, {sql.words('text')} AS words, floor(length(text) / 4.0)::BIGINT AS tokens FROM texts WHERE label = 1), l AS (SELECT language, count(*) AS n, round(avg(tokens / words) FILTER (words > 0), 9) AS tokens_per_word, max(tokens) AS max_tokens, round(count(*) FILTER (tokens > 60) / count(*), 9) AS over_budget, list(words) AS ws, list(tokens) AS ts FROM r GROUP BY 1)"
 
 
 @query(f"WITH {_LENGTHS} SELECT language, n, tokens_per_word, max_tokens, over_budget, {sql.value_at('ws', 'n', 0.5)}::INT AS median_words, {sql.value_at('ts', 'n', 0.5)} AS median_tokens, {sql.value_at('ts', 'n', 0.9)} AS p90_tokens FROM l")
@@ -342,28 +339,28 @@ def _md5_score(key: str) -> Column:
 _MD5_SCORE = "('0x' || substring(md5({0}::VARCHAR), 1, 4))::INT / 65535.0"
 
 
-@query(f"WITH s AS (SELECT category, {_MD5_SCORE.format('id')} AS score FROM probe_texts) SELECT count(*) FILTER (category <> 'control' AND score > 0.4) AS failures, round(max(score) FILTER (category <> 'control'), 6) AS max_ood, round(avg(score) FILTER (category <> 'control'), 6) AS mean_ood, round(avg(score) FILTER (category = 'control'), 6) AS mean_control, round(avg(score) FILTER (category = 'control') - avg(score) FILTER (category <> 'control'), 6) AS margin, count(*) FILTER (category <> 'control' AND score > 0.4) = 0 AS passed FROM s")
+@query(f"WITH s AS (SELECT category, {_MD5_SCORE.format('id')} AS score FROM probe_texts) SELECT count(*) FILTER (category <> 'control' AND score > 0.4) AS failures, round(max(score) FILTER (category <> 'control'), 9) AS max_ood, round(avg(score) FILTER (category <> 'control'), 9) AS mean_ood, round(avg(score) FILTER (category = 'control'), 9) AS mean_control, round(avg(score) FILTER (category = 'control') - avg(score) FILTER (category <> 'control'), 9) AS margin, count(*) FILTER (category <> 'control' AND score > 0.4) = 0 AS passed FROM s")
 def sanity_probe(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluation.probe_summary(table(spark, folder, "probe_texts").withColumn("score", _md5_score("id")), "category", "score"))
 
 
-@query(f"WITH s AS (SELECT id, category, {_MD5_SCORE.format('id')} AS score FROM probe_texts) SELECT id, round(score, 6) AS score, CASE WHEN category <> 'control' AND score > 0.4 THEN 'fail' WHEN category = 'control' AND score < 0.5 THEN 'low' ELSE 'ok' END AS verdict FROM s")
+@query(f"WITH s AS (SELECT id, category, {_MD5_SCORE.format('id')} AS score FROM probe_texts) SELECT id, round(score, 9) AS score, CASE WHEN category <> 'control' AND score > 0.4 THEN 'fail' WHEN category = 'control' AND score < 0.5 THEN 'low' ELSE 'ok' END AS verdict FROM s")
 def probe_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "probe_texts").withColumn("score", _md5_score("id"))
     return _rounded(evaluation.probe_rows(rows, "category", "score").select("id", "score", "verdict"))
 
 
-@query(f"WITH {sql.COMPLETIONS} SELECT run_id, round(exp(sum(l * w) / sum(w)), 6) AS perplexity FROM (SELECT run_id, 1 - grpo_style_score AS l, {sql.words('grpo_completion')} AS w FROM completions WHERE grpo_style_score IS NOT NULL AND grpo_completion IS NOT NULL) GROUP BY 1")
+@query(f"WITH {sql.COMPLETIONS} SELECT run_id, round(exp(sum(l * w) / sum(w)), 9) AS perplexity FROM (SELECT run_id, 1 - grpo_style_score AS l, {sql.words('grpo_completion')} AS w FROM completions WHERE grpo_style_score IS NOT NULL AND grpo_completion IS NOT NULL) GROUP BY 1")
 def perplexity_agg(spark: SparkSession, folder: str) -> DataFrame:
     rows = _completions(spark, folder).filter("grpo_style_score is not null and grpo_completion is not null").select("run_id", (1 - F.col("grpo_style_score")).alias("loss"), tx.word_count(F.col("grpo_completion")).alias("tokens"))
     return _rounded(evaluation.perplexity(rows, "loss", "tokens", ["run_id"]))
 
 
-@query(f"WITH {sql.COMPLETIONS}, r AS (SELECT DISTINCT run_id, model FROM eval_runs) SELECT model, {', '.join(f'round(avg(grpo_reward_breakdown.{c}), 6) AS {c}' for c in _PARTS)} FROM completions JOIN r USING (run_id) GROUP BY 1")
+@query(f"WITH {sql.COMPLETIONS}, r AS (SELECT DISTINCT run_id, model FROM eval_runs) SELECT model, {', '.join(f'round(avg(grpo_reward_breakdown.{c}), 13) AS {c}' for c in _PARTS)} FROM completions JOIN r USING (run_id) GROUP BY 1")
 def reward_means(spark: SparkSession, folder: str) -> DataFrame:
     runs = table(spark, folder, "eval_runs").select("run_id", "model").distinct()
     rows = _completions(spark, folder).select("run_id", "grpo_reward_breakdown.*").join(runs, "run_id")
-    return _rounded(rows.groupBy("model").agg(*(F.avg(c).alias(c) for c in _PARTS)))
+    return _rounded(rows.groupBy("model").agg(*(F.avg(c).alias(c) for c in _PARTS)), 13)
 
 
 # two runs: base and trained completions of the same rows; one of two models per row
@@ -372,7 +369,7 @@ _EVEN = "run_id IN (SELECT run_id FROM eval_runs WHERE model LIKE '%s1')"
 _ODD = "run_id IN (SELECT run_id FROM eval_runs WHERE model LIKE '%s2')"
 _PAIRS = f"""{sql.COMPLETIONS}, e AS (SELECT c.*, model FROM completions c JOIN (SELECT DISTINCT run_id, model FROM eval_runs) USING (run_id)),
 last AS (SELECT *, row_number() OVER (PARTITION BY model, prompt ORDER BY run_id DESC, pos DESC) AS k FROM e),
-pairs AS (SELECT a.prompt, round(a.grpo_style_score, 6) AS a, round(b.grpo_style_score, 6) AS b, round(b.grpo_style_score - a.grpo_style_score, 6) AS delta, b.grpo_completion AS completion FROM last a JOIN last b USING (prompt) WHERE a.k = 1 AND b.k = 1 AND a.model LIKE '%s1' AND b.model LIKE '%s2' AND a.grpo_style_score IS NOT NULL AND b.grpo_style_score IS NOT NULL)"""
+pairs AS (SELECT a.prompt, round(a.grpo_style_score, 9) AS a, round(b.grpo_style_score, 9) AS b, round(b.grpo_style_score - a.grpo_style_score, 9) AS delta, b.grpo_completion AS completion FROM last a JOIN last b USING (prompt) WHERE a.k = 1 AND b.k = 1 AND a.model LIKE '%s1' AND b.model LIKE '%s2' AND a.grpo_style_score IS NOT NULL AND b.grpo_style_score IS NOT NULL)"""
 
 
 def _model_rows(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
@@ -411,19 +408,19 @@ def change_counts(spark: SparkSession, folder: str) -> DataFrame:
 _BETTER = sql.listed(evaluation.HIGHER_IS_BETTER)
 
 
-@query(f"WITH b AS (SELECT run_id, unnest(map_keys(base_metrics)) AS metric, unnest(map_values(base_metrics)) AS base FROM eval_runs), g AS (SELECT run_id, unnest(map_keys(grpo_metrics)) AS metric, unnest(map_values(grpo_metrics)) AS new FROM eval_runs) SELECT run_id, metric, base, new, round(new - base, 6) AS delta, CASE WHEN abs(new - base) < 1e-6 THEN 'same' WHEN (metric IN {_BETTER} AND new > base) OR (metric NOT IN {_BETTER} AND new < base) THEN 'better' ELSE 'worse' END AS verdict FROM b JOIN g USING (run_id, metric) WHERE base IS NOT NULL AND new IS NOT NULL")
+@query(f"WITH b AS (SELECT run_id, unnest(map_keys(base_metrics)) AS metric, unnest(map_values(base_metrics)) AS base FROM eval_runs), g AS (SELECT run_id, unnest(map_keys(grpo_metrics)) AS metric, unnest(map_values(grpo_metrics)) AS new FROM eval_runs) SELECT run_id, metric, base, new, round(new - base, 9) AS delta, CASE WHEN abs(new - base) < 1e-6 THEN 'same' WHEN (metric IN {_BETTER} AND new > base) OR (metric NOT IN {_BETTER} AND new < base) THEN 'better' ELSE 'worse' END AS verdict FROM b JOIN g USING (run_id, metric) WHERE base IS NOT NULL AND new IS NOT NULL")
 def compare_metrics(spark: SparkSession, folder: str) -> DataFrame:
     runs = table(spark, folder, "eval_runs")
-    return evaluation.metric_deltas(evaluation.unpivot(runs, ["run_id"], "base_metrics"), evaluation.unpivot(runs, ["run_id"], "grpo_metrics"), ["run_id"]).withColumn("delta", F.round("delta", 6))
+    return evaluation.metric_deltas(evaluation.unpivot(runs, ["run_id"], "base_metrics"), evaluation.unpivot(runs, ["run_id"], "grpo_metrics"), ["run_id"]).withColumn("delta", F.round("delta", 9))
 
 
 PAIRS = [("prompt_relevance", "prompt_echo_penalty"), ("prompt_relevance", "reference_copy_penalty"), ("style_score", "length_bonus"), ("prompt_echo_penalty", "repetition_penalty")]
 
 
 def _correlation_sql(x: str, y: str) -> str:
-    return f"""SELECT '{x}' AS x, '{y}' AS y, count(*) AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(stddev_pop(x), 6) AS std_x, round(stddev_pop(y), 6) AS std_y,
-    count(*) FILTER (x > 0 AND y > 0) AS both_active, round(coalesce(count(*) FILTER (x > 0 AND y > 0) / nullif(count(*) FILTER (x > 0 OR y > 0), 0), 0.0), 6) AS co_activation,
-    round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, CASE WHEN greatest(abs(corr(x, y)), abs(corr(rx, ry))) >= 0.7 THEN 'redundant' WHEN greatest(abs(corr(x, y)), abs(corr(rx, ry))) <= 0.3 THEN 'independent' ELSE 'entangled' END AS verdict
+    return f"""SELECT '{x}' AS x, '{y}' AS y, count(*) AS n, round(avg(x), 9) AS mean_x, round(avg(y), 9) AS mean_y, round(stddev_pop(x), 9) AS std_x, round(stddev_pop(y), 9) AS std_y,
+    count(*) FILTER (x > 0 AND y > 0) AS both_active, round(coalesce(count(*) FILTER (x > 0 AND y > 0) / nullif(count(*) FILTER (x > 0 OR y > 0), 0), 0.0), 9) AS co_activation,
+    round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman, CASE WHEN greatest(abs(corr(x, y)), abs(corr(rx, ry))) >= 0.7 THEN 'redundant' WHEN greatest(abs(corr(x, y)), abs(corr(rx, ry))) <= 0.3 THEN 'independent' ELSE 'entangled' END AS verdict
     FROM (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM (SELECT grpo_reward_breakdown.{x} AS x, grpo_reward_breakdown.{y} AS y FROM completions WHERE grpo_reward_breakdown.{x} IS NOT NULL AND grpo_reward_breakdown.{y} IS NOT NULL))"""
 
 
@@ -495,7 +492,7 @@ def _scored_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", (F.col("label") == 0).alias("pos"), F.when(F.col("label") == 0, 1).otherwise(0).alias("y"), (1 / (1 + F.exp(-z))).alias("prob"))
 
 
-_BINARY = "count(*) AS n, round(count(*) FILTER ((prob > 0.5) = pos) / count(*), 6) AS accuracy, round(coalesce(count(*) FILTER (prob > 0.5 AND pos) / nullif(count(*) FILTER (prob > 0.5), 0), 0.0), 6) AS precision, round(coalesce(count(*) FILTER (prob > 0.5 AND pos) / nullif(count(*) FILTER (pos), 0), 0.0), 6) AS recall, round(coalesce(2 * count(*) FILTER (prob > 0.5 AND pos) / nullif(count(*) FILTER (prob > 0.5) + count(*) FILTER (pos), 0), 0.0), 6) AS f1"
+_BINARY = "count(*) AS n, round(count(*) FILTER ((prob > 0.5) = pos) / count(*), 9) AS accuracy, round(coalesce(count(*) FILTER (prob > 0.5 AND pos) / nullif(count(*) FILTER (prob > 0.5), 0), 0.0), 9) AS precision, round(coalesce(count(*) FILTER (prob > 0.5 AND pos) / nullif(count(*) FILTER (pos), 0), 0.0), 9) AS recall, round(coalesce(2 * count(*) FILTER (prob > 0.5 AND pos) / nullif(count(*) FILTER (prob > 0.5) + count(*) FILTER (pos), 0), 0.0), 9) AS f1"
 
 
 @query(f"WITH {_SCORED} SELECT {_BINARY} FROM s")
@@ -506,12 +503,12 @@ def binary_metrics(spark: SparkSession, folder: str) -> DataFrame:
 _RANKED = "r AS (SELECT *, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rk FROM s)"
 
 
-@query(f"WITH {_SCORED}, {_RANKED} SELECT round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)), 6) AS auc FROM r")
+@query(f"WITH {_SCORED}, {_RANKED} SELECT round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)), 9) AS auc FROM r")
 def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(evaluation.roc_auc(_scored_vectors(spark, folder), "prob", "pos"))
 
 
-@query(f"WITH {_SCORED}, f AS (SELECT *, (row_number() OVER (PARTITION BY pos ORDER BY {sql.hash_order(42, 'vec_id')}, vec_id) - 1) % 5 AS fold FROM s), m AS (SELECT fold, count(*) FILTER ((prob > 0.5) = pos) / count(*) AS accuracy FROM f GROUP BY 1) SELECT round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std FROM m")
+@query(f"WITH {_SCORED}, f AS (SELECT *, (row_number() OVER (PARTITION BY pos ORDER BY {sql.hash_order(42, 'vec_id')}, vec_id) - 1) % 5 AS fold FROM s), m AS (SELECT fold, count(*) FILTER ((prob > 0.5) = pos) / count(*) AS accuracy FROM f GROUP BY 1) SELECT round(avg(accuracy), 9) AS accuracy_mean, round(stddev_pop(accuracy), 9) AS accuracy_std FROM m")
 def cv_summary(spark: SparkSession, folder: str) -> DataFrame:
     folds = corpus.kfold(_scored_vectors(spark, folder), "pos", "vec_id")
     return _rounded(evaluation.cv_summary(evaluation.binary_metrics(folds, "prob", "y", keys=["fold"]), ["accuracy"]))
