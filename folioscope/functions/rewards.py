@@ -42,7 +42,8 @@ COMPONENTS = ["style_score", "length_bonus", "prompt_relevance", "repetition_pen
 
 
 def temperature_scale(p: Column, temperature: float = 1.0) -> Column:
-    q = F.least(F.greatest(p, F.lit(1e-5)), F.lit(1 - 1e-5))
+    # least and greatest pass over nulls: a null stays null here
+    q = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(1e-5)), F.lit(1 - 1e-5)))
     logit = F.ln(q / (1 - q))
     return 1 / (1 + F.exp(-logit / max(temperature, 1e-3)))
 
@@ -89,4 +90,5 @@ def weighted(prob: Column, tokens: Column, seed: Column, text: Column, reference
         "reference_copy_penalty": term(config.reference_weight, reference),
     }
     total = parts["style_score"] + parts["length_bonus"] + parts["prompt_relevance"] - parts["repetition_penalty"] - parts["prompt_echo_penalty"] - parts["reference_copy_penalty"]
-    return parts | {"total": F.greatest(F.lit(config.minimum), F.least(F.lit(config.maximum), total))}
+    bounded = F.greatest(F.lit(config.minimum), F.least(F.lit(config.maximum), total))
+    return parts | {"total": F.when(total.isNotNull(), bounded)}

@@ -142,11 +142,11 @@ def probe_rows(df: DataFrame, category: str, score: str, control: str = "control
 def roc_auc(df: DataFrame, score: str, positive: str, keys: list[str] | None = None) -> DataFrame:
     """``auc`` by rank sum, ties sharing ranks; null with one class only."""
     keys = keys or []
-    counts = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(*keys, score).agg(F.count_if(positive).alias("p"))
-    ranks = value_ranks(df.filter(F.col(positive).isNotNull()), score, keys)
-    joined = ranks.join(counts, [*keys, score])
-    p, total = F.sum("p"), F.sum("n")
-    auc = F.try_divide(F.sum(F.col("avg_rank") * F.col("p")) - p * (p + 1) / 2, p * (total - p))
+    rows = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()).select(*keys, F.col(score).alias("__score"), F.col(positive).alias("__positive"))
+    counts = rows.groupBy(*keys, "__score").agg(F.count_if("__positive").alias("__p"))
+    joined = value_ranks(rows, "__score", keys).join(counts, [*keys, "__score"])
+    p, total = F.sum("__p"), F.sum("n")
+    auc = F.try_divide(F.sum(F.col("avg_rank") * F.col("__p")) - p * (p + 1) / 2, p * (total - p))
     return _group(joined, keys, [auc.alias("auc")])
 
 

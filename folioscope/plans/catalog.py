@@ -238,7 +238,7 @@ for _name, _column, _weight in (("repetition_penalty", "repetition_penalty", 0.1
     _part(_name, _column, _weight)
 
 
-@query("SELECT completion_id, round(max(1 / (1 + exp(-ln(least(greatest(grpo_style_score, 1e-5), 1 - 1e-5) / (1 - least(greatest(grpo_style_score, 1e-5), 1 - 1e-5))) / 2))), 9) AS scaled FROM eval_completions GROUP BY 1")
+@query("SELECT completion_id, round(max(CASE WHEN grpo_style_score IS NOT NULL THEN 1 / (1 + exp(-ln(least(greatest(grpo_style_score, 1e-5), 1 - 1e-5) / (1 - least(greatest(grpo_style_score, 1e-5), 1 - 1e-5))) / 2)) END), 9) AS scaled FROM eval_completions GROUP BY 1")
 def temperature_scale(spark: SparkSession, folder: str) -> DataFrame:
     return _completions(spark, folder).select("completion_id", F.round(rw.temperature_scale(F.col("grpo_style_score"), 2.0), 9).alias("scaled"))
 

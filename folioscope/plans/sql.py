@@ -129,10 +129,10 @@ raws AS (SELECT r.*, coalesce(c.ref, 0.0) AS ref,
   least(1.0, len(list_filter(list_distinct(list_intersect(st, tt)), lambda q: NOT list_contains(list_transform({copied("tt", "st", "n2")}, lambda p: tt[p + 1]), q))) / 8.0) AS rel_raw,
   CASE WHEN len(tt) >= 4 THEN (len(tt) - 1 - len({distinct_windows("tt", 2)})) / (len(tt) - 1.0) ELSE 0.0 END AS rep_raw,
   CASE WHEN len(st) > 0 THEN greatest(0.0, len({copied("st", "tt", "n4")}) / len(st)::DOUBLE - 0.35) ELSE 0.0 END AS echo_raw,
-  1 / (1 + exp(-ln(least(greatest(prob, 1e-5), 1 - 1e-5) / (1 - least(greatest(prob, 1e-5), 1 - 1e-5))))) AS style_raw
+  CASE WHEN prob IS NOT NULL THEN 1 / (1 + exp(-ln(least(greatest(prob, 1e-5), 1 - 1e-5) / (1 - least(greatest(prob, 1e-5), 1 - 1e-5))))) END AS style_raw
   FROM runs r LEFT JOIN copies c USING (completion_id)),
 rewards AS (SELECT completion_id, run_id, pos, prompt, prob AS raw_style_prob, style_raw * 0.65 AS style_score, len_raw * 0.10 AS length_bonus, rel_raw * 0.20 AS prompt_relevance, rep_raw * 0.15 AS repetition_penalty, echo_raw * 0.10 AS prompt_echo_penalty, ref * 0.15 AS reference_copy_penalty,
-  greatest(-1.0, least(1.0, style_raw * 0.65 + len_raw * 0.10 + rel_raw * 0.20 - rep_raw * 0.15 - echo_raw * 0.10 - ref * 0.15)) AS total FROM raws)"""
+  CASE WHEN prob IS NOT NULL THEN greatest(-1.0, least(1.0, style_raw * 0.65 + len_raw * 0.10 + rel_raw * 0.20 - rep_raw * 0.15 - echo_raw * 0.10 - ref * 0.15)) END AS total FROM raws)"""
 
 #: Groups of stored breakdowns: contiguous runs of a prompt within a run.
 GROUPS = f"""{COMPLETIONS},
