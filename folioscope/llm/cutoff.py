@@ -37,6 +37,8 @@ BAND, BAND_SHARE = 8, 0.8
 #: Unterminated share from which a source's missing terminators prove nothing.
 LOOSE_SOURCE, LOOSE_LEAST = 0.5, 10
 
+#: Endings are looked for in so many characters, or the whole last line if longer.
+TAIL = 400
 #: So few words after the last sentence are no unfinished sentence by themselves.
 SHORT_TAIL = 3
 #: A line of verse is shorter than this.
@@ -117,6 +119,8 @@ def ending(text: str) -> Ending:
     # a text of verse throughout that ends lines with signs would end the last with one
     styled = verse and len(lines) > 1 and all(len(x) < LINE and not _INSIDE.search(x) for x in lines) and sum(x[-1] in ".!?" for x in lines[:-1]) * 3 < len(lines) and any(x[-1] in ",;:…" for x in lines[:-1])
     is_open = unclosed(body)
+    # what stands at the end is looked for from the last long line on
+    whole, body = body, body[max(0, len(body) - TAIL) :] if len(lines[-1]) < TAIL else lines[-1]
     core, state = body, "open"
     if m := _SIGN.search(body):
         core, state = body[: m.start()], "sign"
@@ -134,7 +138,7 @@ def ending(text: str) -> Ending:
         state = "terminated"
     elif body[-1] in _CLOSERS:
         state = "mark"
-    if state == "open" and not verse and len(last.split()) <= SHORT_TAIL and _STOP.search(body):
+    if state == "open" and not verse and len(last.split()) <= SHORT_TAIL and _STOP.search(whole):
         state = "tail"
     found = _LAST.search(core.rstrip(_CLOSERS + ".!?…,;: "))
     return Ending(state, found.group(1).lower() if found and len(found.group(1)) <= 60 else "", verse, styled, is_open, len(lines))
@@ -217,7 +221,7 @@ def cut_records(records: DataFrame) -> DataFrame:
     """
     ends = cut_lineage(read_endings(records))
     asked = ends.filter(F.col("state").isin("open", "tail", "dots") & (F.col("word") != "")).select("word").distinct()
-    judged = judge_words(asked, count_words(records))
+    judged = judge_words(asked, cut_lineage(count_words(records)))
     rows = ends.join(judged, "word", "left")
     for unit, slack in (("n_chars", 0), ("n_bytes", 3)):
         limit = hard_limits(ends, unit).withColumnRenamed("limit", f"{unit}_limit")
