@@ -14,7 +14,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ PROFILE = 600
 #: n-grams of a sentence that are compared, the most frequent first.
 COMPARED = 300
 #: Rows per language at most that profiles are fitted on, taken by hash.
-SAMPLE_PER_LANGUAGE = 4000
+SAMPLE_PER_LANGUAGE = 600
 #: A sentence has at least this many words.
 SENTENCE_WORDS = 4
 #: Weight of the distance per n-gram against the price of a change of language.
@@ -47,15 +49,14 @@ _NOISE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[#@]\w+")
 _BREAK = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|\n+|[。！？])")
 
 
+@lru_cache(maxsize=100_000)
+def word_grams(word: str) -> tuple[str, ...]:
+    padded = f"_{word}_"
+    return tuple(padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if n > 1 or padded[i] != "_")
+
+
 def grams(words: list[str]) -> Counter[str]:
-    counts: Counter[str] = Counter()
-    for w in words:
-        padded = f"_{w}_"
-        for n in range(1, LONGEST + 1):
-            for i in range(len(padded) - n + 1):
-                counts[padded[i : i + n]] += 1
-    del counts["_"]
-    return counts
+    return Counter(chain.from_iterable(map(word_grams, words)))
 
 
 def content_words(text: str) -> tuple[list[str], int]:
@@ -85,7 +86,9 @@ class Profiles:
         for k, code in enumerate(self.codes):
             for r, g in enumerate(ranks[code][:PROFILE]):
                 self.places.setdefault(g, [PROFILE] * len(self.codes))[k] = r
-        self.unknown = [PROFILE] * len(self.codes)
+        self.row = {g: i for i, g in enumerate(self.places, 1)}
+        # row 0 is for n-grams that no profile has
+        self.table = np.array([[PROFILE] * len(self.codes), *self.places.values()], np.int64).reshape(-1, max(len(self.codes), 1))
         self.distances = lru_cache(maxsize=20_000)(self._distances)
 
     def ranks(self) -> dict[str, list[str]]:
@@ -101,13 +104,11 @@ class Profiles:
         distance in units of the profile's length."""
         counts = grams(list(words))
         top = sorted(counts, key=lambda g: (-counts[g], g))[:COMPARED]
-        total = [0] * len(self.codes)
-        scale = PROFILE / max(len(top), 1)
-        for r, g in enumerate(top):
-            for k, place in enumerate(self.places.get(g, self.unknown)):
-                total[k] += PROFILE if place == PROFILE else abs(place - int(r * scale))
         n = max(len(top), 1)
-        return len(top), tuple(t / n / PROFILE for t in total)
+        places = self.table[[self.row.get(g, 0) for g in top]]
+        own = (np.arange(len(top)) * (PROFILE / n)).astype(np.int64)[:, None]
+        distance = np.where(places == PROFILE, PROFILE, np.abs(places - own))
+        return len(top), tuple((distance.sum(axis=0) / n / PROFILE).tolist())
 
     def label(self, text: str, known: str | None = None) -> list[tuple[int, int, str, float, int]]:
         """(start, end, language, confidence, words) of each sentence, the most
@@ -116,14 +117,14 @@ class Profiles:
         distances are read as log odds. ``known`` is the text's label, which
         counts a little."""
         spans, costs = [], []
-        for a, b in sentences(text):
+        for a, b in sentences(text) if self.codes else []:
             words, n_words = content_words(text[a:b])
             if not words:
                 continue
             n, d = self.distances(tuple(words))
             spans.append((a, b, n_words))
             costs.append([SHARPNESS * n * x for x in d])
-        if not spans or not self.codes:
+        if not spans:
             return []
         prior = AGAINST_LABEL if known in self.codes else 0.0
         best, back = [x + prior * (c != known) for x, c in zip(costs[0], self.codes, strict=True)], []
