@@ -114,7 +114,7 @@ def ending(text: str) -> Ending:
     # judged by the last lines: a text may begin otherwise
     near = lines[-4:-1]
     loose = sum(len(x) < LINE and x[-1] not in ".!?" and not _INSIDE.search(x) for x in near)
-    last = _STOP.split(_LINKED.sub("", lines[-1]))[-1]
+    last = _STOP.split(_LINKED.sub("", lines[-1]) if "http" in lines[-1] else lines[-1])[-1]
     verse = loose * 2 > len(near) and len(last) < LINE
     # a text of verse throughout that ends lines with signs would end the last with one
     styled = verse and len(lines) > 1 and all(len(x) < LINE and not _INSIDE.search(x) for x in lines) and sum(x[-1] in ".!?" for x in lines[:-1]) * 3 < len(lines) and any(x[-1] in ",;:…" for x in lines[:-1])
@@ -128,7 +128,7 @@ def ending(text: str) -> Ending:
         core, state = body[: _BROKEN.search(body).start()], "broken"
         if not core.endswith("�") and body[len(core)] == "&" and ";" in body[len(core) :]:
             state = "open"
-    elif m := _MARKS.search(body):
+    elif body[-1] not in ".!?" and (m := _MARKS.search(body)):
         core, state = body[: m.start()], "mark"
     elif re.search(r"(?:^|\s)[—–-]\s*[^\W\d_][^\n]{1,40}$", body) and re.search(r"\n[—–-]\s*[^\W\d_][^\n.!?]{1,40}$", body):
         state = "mark"  # a signature on a line of its own
@@ -140,7 +140,8 @@ def ending(text: str) -> Ending:
         state = "mark"
     if state == "open" and not verse and len(last.split()) <= SHORT_TAIL and _STOP.search(whole):
         state = "tail"
-    found = _LAST.search(core.rstrip(_CLOSERS + ".!?…,;: "))
+    # longer words than this are not looked up
+    found = _LAST.search(core.rstrip(_CLOSERS + ".!?…,;: ")[-100:])
     return Ending(state, found.group(1).lower() if found and len(found.group(1)) <= 60 else "", verse, styled, is_open, len(lines))
 
 
