@@ -15,7 +15,8 @@ task. Ranges are counted out so that one fits in memory at any size of data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,17 +172,23 @@ def _merged(met: DataFrame) -> DataFrame:
     return met.groupBy("kind", "id").agg(F.collect_list(F.struct("places", "n")).alias("parts"))
 
 
-def _hash_places(raw: bytes, starts: list[int], size: int) -> tuple[list[int], list[int]]:
-    """96 bits of each window's hash."""
-    digest = xxhash.xxh3_128_intdigest
-    values = [digest(raw[4 * s : 4 * (s + size)]) for s in starts]
-    return [v & 0xFFFFFFFFFFFFFFFF for v in values], [v >> 64 & 0xFFFFFFFF for v in values]
+def _anchor_bits(hashes: float) -> int:
+    """Bits by which anchors are told apart: false ones stay rare at any size,
+    and only cost a look at their runs."""
+    return min(64, max(34, math.ceil(math.log2(hashes + 2)) + 12))
+
+
+def _run_bits(hashes: float) -> int:
+    """Bits by which runs are compared: with 2 log2(n) + 30, fewer than 2^-30
+    false pairs are expected among n, up to n = 2^33; 96 bits beyond."""
+    return min(96, max(64, 2 * math.ceil(math.log2(hashes + 2)) + 30))
 
 
 class _Chunk:
     """Hashes of a task's texts, until there are enough to pack."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
         self.h: list[int] = []
         self.g: list[int] = []
         self.pos: list[int] = []
@@ -191,14 +198,15 @@ class _Chunk:
     def add(self, kind: int, rec: int, text: str, starts: list[int], size: int, exact: bool) -> None:
         # four bytes a character, so that any character can be cut out directly
         raw = text.encode("utf-32-le", "surrogatepass")
+        cuts = [raw[4 * s : 4 * (s + size)] for s in starts]
         if exact:
-            h, g = _hash_places(raw, starts, size)
-            self.h += h
-            self.g += g
+            digest, more = xxhash.xxh3_128_intdigest, (1 << (self.bits - 64)) - 1
+            values = [digest(c) for c in cuts]
+            self.h += [v & 0xFFFFFFFFFFFFFFFF for v in values]
+            self.g += [v >> 64 & more for v in values]
         else:
-            # anchors only choose where to look: 48 bits do
-            digest = xxhash.xxh3_64_intdigest
-            self.h += [digest(raw[4 * s : 4 * (s + size)]) & 0xFFFFFFFFFFFF0000 for s in starts]
+            digest64, top = xxhash.xxh3_64_intdigest, (1 << self.bits) - 1 << 64 - self.bits
+            self.h += [digest64(c) & top for c in cuts]
         self.pos += starts
         self.owners.append((kind, rec, len(starts)))
         self.chars += len(text) if not exact else 8 * len(starts)
@@ -211,9 +219,12 @@ class _Chunk:
         }
 
 
-def _packed(rows: DataFrame, starts_of, size: int, exact: bool, buckets: int) -> DataFrame:
+def _packed(rows: DataFrame, starts_of: Callable[[dict], list[int]], size: int, exact: bool, hashes: float) -> DataFrame:
+    buckets = max(shuffle_width(rows.sparkSession), int(hashes / RANGE_HASHES))
+    bits = _run_bits(hashes) if exact else _anchor_bits(hashes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk()
+        chunk = _Chunk(bits)
         for batch in batches:
             for row in batch.to_pylist():
                 starts = starts_of(row)
@@ -222,14 +233,14 @@ def _packed(rows: DataFrame, starts_of, size: int, exact: bool, buckets: int) ->
                 if chunk.chars >= CHUNK_CHARS:
                     for packed in _send(chunk.rows(), buckets):
                         yield _batch([packed])
-                    chunk = _Chunk()
+                    chunk = _Chunk(bits)
         for packed in _send(chunk.rows(), buckets):
             yield _batch([packed])
 
     return rows.mapInArrow(run, BLOB)
 
 
-def anchor_windows(texts: DataFrame, length: int, buckets: int) -> DataFrame:
+def anchor_windows(texts: DataFrame, length: int, hashes: float) -> DataFrame:
     """Packed windows at the cover places of ``texts`` (kind, id, text)."""
     period = period_for(length)
     cover = difference_cover(period)
@@ -241,10 +252,10 @@ def anchor_windows(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             return []
         return [s for block in range(0, n - size + 1, period) for c in cover if (s := block + c) <= n - size]
 
-    return _packed(texts.select("kind", "id", "text"), starts_of, size, False, buckets)
+    return _packed(texts.select("kind", "id", "text"), starts_of, size, False, hashes)
 
 
-def candidate_runs(anchored: DataFrame, length: int, buckets: int) -> DataFrame:
+def candidate_runs(anchored: DataFrame, length: int, hashes: float) -> DataFrame:
     """Packed hashes of all runs of ``length`` characters that contain an anchor,
     from rows (kind, id, text, parts)."""
     size = length - period_for(length) + 1
@@ -258,14 +269,15 @@ def candidate_runs(anchored: DataFrame, length: int, buckets: int) -> DataFrame:
             done = max(done, p)
         return out
 
-    return _packed(anchored.select("kind", "id", "text", "parts"), starts_of, length, True, buckets)
+    return _packed(anchored.select("kind", "id", "text", "parts"), starts_of, length, True, hashes)
 
 
 def shared_stretches(records: DataFrame, length: int = LENGTH) -> DataFrame:
     """``rec_kind, rec_id, start_pos, end_pos, n_chars`` from records
     (rec_kind, rec_id BIGINT, text): the longest stretches in which every
     character lies in a run of ``length`` characters that also stands in
-    another record. Runs are compared by 96 bits of their hash.
+    another record. Runs are compared by 64 to 96 bits of their hash, as many
+    as the size of the data asks for.
 
     Records are told apart by kind and id; a record delivered several times
     with the same text is one; of different texts under one id the least is
@@ -285,14 +297,12 @@ def shared_stretches(records: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = docs.filter("n > 1").select("doc")
 
     chars = members.agg(F.sum("n_chars")).collect()[0][0] or 0
-    least = shuffle_width(spark)
     period = period_for(length)
-    buckets = max(least, int(chars * len(difference_cover(period)) / period / RANGE_HASHES))
-    anchors = _merged(_meet(anchor_windows(known, length, buckets)))
+    anchors = _merged(_meet(anchor_windows(known, length, chars * len(difference_cover(period)) / period)))
     # of copies only the first record goes on; the join also drops texts that do not count for their id
     chosen = anchors.join(firsts, ["kind", "id"])
     runs = known.join(chosen, ["kind", "id"]).filter(F.unhex(F.md5("text")) == F.col("doc"))
-    found = _merged(_meet(candidate_runs(runs, length, max(least, int(chars / RANGE_HASHES)))))
+    found = _merged(_meet(candidate_runs(runs, length, chars)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
