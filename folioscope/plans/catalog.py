@@ -48,19 +48,17 @@ def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-DOC = F.col("text")
-
 # corpus -----------------------------------------------------------------------------------
 
 
 @query(f"SELECT doc_id, {sql.clean('text')} AS text FROM documents WHERE text IS NOT NULL")
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").filter("text is not null").select("doc_id", tx.clean(DOC).alias("text"))
+    return table(spark, folder, "documents").filter("text is not null").select("doc_id", tx.clean(F.col("text")).alias("text"))
 
 
 @query(f"SELECT min(doc_id) AS doc_id, md5(c) AS text_md5, count(*) AS copies FROM (SELECT doc_id, {sql.clean('text')} AS c FROM documents) WHERE length(c) > 0 GROUP BY c")
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = table(spark, folder, "documents").withColumn("c", tx.clean(DOC)).select("doc_id", F.md5("c").alias("text_md5"), F.length("c").alias("n")).filter("n > 0")
+    cleaned = table(spark, folder, "documents").withColumn("c", tx.clean(F.col("text"))).select("doc_id", F.md5("c").alias("text_md5"), F.length("c").alias("n")).filter("n > 0")
     return cleaned.groupBy("text_md5").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
@@ -71,7 +69,7 @@ def processed_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {sql.words('text')}::INT AS words, {sql.is_verse('text')} AS verse, {sql.infer_language('text')} AS language FROM documents WHERE text IS NOT NULL")
 def surface_features(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").filter("text is not null").select("doc_id", tx.word_count(DOC).alias("words"), tx.is_verse(DOC).alias("verse"), tx.infer_language(DOC).alias("language"))
+    return table(spark, folder, "documents").filter("text is not null").select("doc_id", tx.word_count(F.col("text")).alias("words"), tx.is_verse(F.col("text")).alias("verse"), tx.infer_language(F.col("text")).alias("language"))
 
 
 _COUNTED = f"{sql.TEXTS}, counted AS (SELECT *, {sql.words('text')} AS w FROM texts), {sql.edges('counted', 'w')}"
@@ -81,7 +79,7 @@ _CELLS = "SELECT bin, language, verse, least(count(*) FILTER (label = 1), count(
 
 @query(f"WITH {_COUNTED} SELECT edge::INT AS edge FROM edges")
 def length_bins(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.bin_edges(_texts(spark, folder).select(tx.word_count(DOC).alias("words")), "words")
+    return corpus.bin_edges(_texts(spark, folder).select(tx.word_count(F.col("text")).alias("words")), "words")
 
 
 @query(f"WITH {_STRATA} {_CELLS}")
@@ -162,17 +160,17 @@ def manifest_count_drift(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {sql.TEXTS} SELECT sample_id, {sql.infer_language('text')} AS language FROM texts")
 def infer_language(spark: SparkSession, folder: str) -> DataFrame:
-    return _texts(spark, folder).select("sample_id", tx.infer_language(DOC).alias("language"))
+    return _texts(spark, folder).select("sample_id", tx.infer_language(F.col("text")).alias("language"))
 
 
 @query(f"WITH {sql.TEXTS} SELECT sample_id, {sql.detect_language('text')} AS language FROM texts")
 def detect_language(spark: SparkSession, folder: str) -> DataFrame:
-    return _texts(spark, folder).select("sample_id", tx.detect_language(DOC).alias("language"))
+    return _texts(spark, folder).select("sample_id", tx.detect_language(F.col("text")).alias("language"))
 
 
 @query(f"WITH {sql.SEEDS} SELECT sample_id, seed, continuation FROM seeds")
 def seed_split(spark: SparkSession, folder: str) -> DataFrame:
-    return _texts(spark, folder).withColumn("p", pr.seed_and_continuation(DOC)).select("sample_id", "p.seed", "p.continuation")
+    return _texts(spark, folder).withColumn("p", pr.seed_and_continuation(F.col("text"))).select("sample_id", "p.seed", "p.continuation")
 
 
 _STYLE = "coalesce(style, 'standard')"
@@ -182,15 +180,15 @@ _STYLE = "coalesce(style, 'standard')"
 def control_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """The first 500 prompts by id: the limit is the feature."""
     style = F.coalesce("style", F.lit("standard"))
-    language = tx.infer_language(tx.strip(DOC))
-    rows = _texts(spark, folder).filter("label = 1").select("sample_id", pr.seed_and_continuation(DOC)["seed"].alias("raw_prompt"), style.alias("style"), language.alias("language"))
+    language = tx.infer_language(tx.strip(F.col("text")))
+    rows = _texts(spark, folder).filter("label = 1").select("sample_id", pr.seed_and_continuation(F.col("text"))["seed"].alias("raw_prompt"), style.alias("style"), language.alias("language"))
     rows = rows.filter(tx.word_count(F.col("raw_prompt")) >= 5).orderBy("sample_id").limit(500)
     return rows.select("sample_id", pr.control_prompt(F.col("raw_prompt"), F.col("style"), F.col("language")).alias("prompt"), "raw_prompt", "style", "language")
 
 
 @query(f"WITH {sql.SEEDS} SELECT sample_id, {sql.control_prompt('seed', _STYLE, sql.infer_language('t'))} AS prompt, continuation AS completion FROM seeds WHERE label = 1 AND split = 'train' AND {sql.words('seed')} >= 5 AND {sql.words('continuation')} >= 5")
 def sft_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _texts(spark, folder).filter("label = 1 and split = 'train'").withColumn("p", pr.seed_and_continuation(DOC)).select("sample_id", "p.seed", F.col("p.continuation").alias("completion"), F.coalesce("style", F.lit("standard")).alias("style"), tx.infer_language(tx.strip(DOC)).alias("language"))
+    rows = _texts(spark, folder).filter("label = 1 and split = 'train'").withColumn("p", pr.seed_and_continuation(F.col("text"))).select("sample_id", "p.seed", F.col("p.continuation").alias("completion"), F.coalesce("style", F.lit("standard")).alias("style"), tx.infer_language(tx.strip(F.col("text"))).alias("language"))
     rows = rows.filter((tx.word_count(F.col("seed")) >= 5) & (tx.word_count(F.col("completion")) >= 5))
     return rows.select("sample_id", pr.control_prompt(F.col("seed"), F.col("style"), F.col("language")).alias("prompt"), "completion")
 
@@ -203,7 +201,11 @@ def ensure_prompt(spark: SparkSession, folder: str) -> DataFrame:
 
 # rewards ----------------------------------------------------------------------------------
 
-TOKENS = F.floor(F.length(F.coalesce("grpo_completion", F.lit(""))) / 4)
+def _tokens() -> Column:
+    """A stand-in tokenizer: four characters a token."""
+    return F.floor(F.length(F.coalesce("grpo_completion", F.lit(""))) / 4)
+
+
 _COUNT = f"{sql.COMPLETIONS}, t AS (SELECT completion_id, {sql.content_tokens('grpo_completion')} AS tt FROM completions WHERE grpo_completion IS NOT NULL)"
 
 
@@ -221,7 +223,7 @@ def ngrams(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     reference = scoring.reference_ngrams(_texts(spark, folder), "text", 8)
-    return scoring.score(_completions(spark, folder).drop("grpo_reward_breakdown"), "completion_id", "grpo_completion", "prompt", "grpo_style_score", TOKENS, reference)
+    return scoring.score(_completions(spark, folder).drop("grpo_reward_breakdown"), "completion_id", "grpo_completion", "prompt", "grpo_style_score", _tokens(), reference)
 
 
 def _part(name: str, column: str, weight: float) -> None:
@@ -327,7 +329,7 @@ _LENGTHS = f"{sql.TEXTS}, r AS (SELECT {sql.detect_language('text')} AS language
 
 @query(f"WITH {_LENGTHS} SELECT language, n, tokens_per_word, max_tokens, over_budget, {sql.value_at('ws', 'n', 0.5)}::INT AS median_words, {sql.value_at('ts', 'n', 0.5)} AS median_tokens, {sql.value_at('ts', 'n', 0.9)} AS p90_tokens FROM l")
 def length_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _texts(spark, folder).filter("label = 1").select(tx.detect_language(DOC).alias("language"), tx.word_count(DOC).alias("words"), F.floor(F.length("text") / 4).alias("tokens"))
+    rows = _texts(spark, folder).filter("label = 1").select(tx.detect_language(F.col("text")).alias("language"), tx.word_count(F.col("text")).alias("words"), F.floor(F.length("text") / 4).alias("tokens"))
     return _rounded(evaluation.length_report(rows, "language", "words", "tokens", 60))
 
 
@@ -446,7 +448,7 @@ _HUMAN = f"{sql.TEXTS}, {sql.COMPLETIONS}, real AS (SELECT sample_id AS id, {sql
 @query(f"WITH {_HUMAN} SELECT id, origin, text, row_number() OVER (ORDER BY md5('42|' || origin || '|' || id::VARCHAR), id)::INT AS number FROM (SELECT * FROM real UNION ALL SELECT * FROM made)")
 def human_eval_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty of each origin, mixed and numbered: sampling is the feature."""
-    real = _texts(spark, folder).filter("label = 1").select(F.col("sample_id").alias("id"), tx.strip(DOC).alias("text"), F.lit("real").alias("origin"))
+    real = _texts(spark, folder).filter("label = 1").select(F.col("sample_id").alias("id"), tx.strip(F.col("text")).alias("text"), F.lit("real").alias("origin"))
     made = _completions(spark, folder).select(F.col("completion_id").alias("id"), tx.strip(F.col("grpo_completion")).alias("text"), F.lit("generated").alias("origin"))
     both = corpus.sample_by_hash(real.filter("text != ''"), "id", 20).unionByName(corpus.sample_by_hash(made.filter("text != ''"), "id", 20))
     return hash_rank(both, [], seeded_hash(42, "origin", "id"), "id", "number").withColumn("number", F.col("number").cast("int"))
@@ -484,11 +486,10 @@ def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SCORED = "s AS (SELECT vec_id, label, label = 0 AS pos, 1 / (1 + exp(-(embedding[1] + embedding[2])::DOUBLE)) AS prob FROM embeddings)"
-_TWO = F.col("embedding")
 
 
 def _scored_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    z = (F.get(_TWO, 0) + F.get(_TWO, 1)).cast("double")
+    z = (F.get("embedding", 0) + F.get("embedding", 1)).cast("double")
     return table(spark, folder, "embeddings").select("vec_id", (F.col("label") == 0).alias("pos"), F.when(F.col("label") == 0, 1).otherwise(0).alias("y"), (1 / (1 + F.exp(-z))).alias("prob"))
 
 

@@ -2,6 +2,9 @@
 
 import json
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,7 +115,13 @@ def test_reward_log(spark, tmp_path):
     assert timed is None
 
 
-def test_registered_queries_match_names():
-    from folioscope.plans.catalog import ORACLES, QUERIES
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) >= 60"
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
 
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 60
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert set(__spark_entry__.entry(spark).columns) == {"bin", "language", "verse", "kept"}
