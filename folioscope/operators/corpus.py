@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, infer_language, is_verse, word_count
+from ..session import cut_lineage
 from .ranking import hash_rank, seeded_hash, values_at
 
 BINS = 8
@@ -68,7 +69,11 @@ def balanced(df: DataFrame, label: str, key: str, strata: list[str], seed: int =
 
 
 def length_matched(df: DataFrame, text: str, label: str, key: str, seed: int = SEED, bins: int = BINS, form: bool = True) -> DataFrame:
-    return balanced(with_strata(df, text, bins, form), label, key, strata_columns(form), seed)
+    """``key, label`` and stratum of the rows kept by :func:`balanced`; join them
+    with the texts where those are needed. The texts are read for the strata
+    only; what is ranked and counted after that is narrow and kept once."""
+    strata = with_strata(df.select(key, text, label), text, bins, form).select(key, label, *strata_columns(form))
+    return balanced(cut_lineage(strata), label, key, strata_columns(form), seed)
 
 
 def undersample(df: DataFrame, label: str, key: str, seed: int = SEED) -> DataFrame:

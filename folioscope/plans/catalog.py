@@ -31,16 +31,16 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _samples(spark: SparkSession, folder: str) -> DataFrame:
-    return latest(table(spark, folder, "writing_samples"), "sample_id", "loaded_at")
+def _samples(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return latest(table(spark, folder, "writing_samples"), "sample_id", "loaded_at", ["sample_id", *columns])
 
 
-def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return _samples(spark, folder).filter("text is not null")
+def _texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return _samples(spark, folder, "text", *columns).filter("text is not null")
 
 
-def _completions(spark: SparkSession, folder: str) -> DataFrame:
-    return latest(table(spark, folder, "eval_completions"), "completion_id", "loaded_at")
+def _completions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return latest(table(spark, folder, "eval_completions"), "completion_id", "loaded_at", ["completion_id", *columns])
 
 
 def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -84,57 +84,57 @@ def length_bins(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_STRATA} {_CELLS}")
 def surface_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.surface_cells(_texts(spark, folder).select("text", "label"), "text", "label")
+    return corpus.surface_cells(_texts(spark, folder, "label").select("text", "label"), "text", "label")
 
 
 @query(f"WITH {_COUNTED}, strata AS (SELECT label, (SELECT count(*) FROM edges WHERE edge <= w)::INT AS bin FROM counted) SELECT bin, least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS kept FROM strata GROUP BY ALL HAVING kept > 0")
 def length_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.surface_cells(_texts(spark, folder).select("text", "label"), "text", "label", form=False)
+    return corpus.surface_cells(_texts(spark, folder, "label").select("text", "label"), "text", "label", form=False)
 
 
 @query(f"WITH {_STRATA}, cells AS ({_CELLS}), ranked AS (SELECT *, row_number() OVER (PARTITION BY bin, language, verse, label ORDER BY {sql.hash_order(42, 'sample_id')}, sample_id) AS k FROM strata) SELECT sample_id, label, bin, language, verse FROM ranked JOIN cells USING (bin, language, verse) WHERE k <= kept")
 def length_matched(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.length_matched(_texts(spark, folder).select("sample_id", "text", "label"), "text", "label", "sample_id").select("sample_id", "label", "bin", "language", "verse")
+    return corpus.length_matched(_texts(spark, folder, "label").select("sample_id", "text", "label"), "text", "label", "sample_id").select("sample_id", "label", "bin", "language", "verse")
 
 
 @query(f"WITH {sql.SAMPLES}, kept AS (SELECT least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS n FROM samples), ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql.hash_order(42, 'sample_id')}, sample_id) AS k FROM samples WHERE label IN (0, 1)) SELECT sample_id, label FROM ranked, kept WHERE k <= n")
 def undersample(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.undersample(_samples(spark, folder).select("sample_id", "label"), "label", "sample_id").select("sample_id", "label")
+    return corpus.undersample(_samples(spark, folder, "label").select("sample_id", "label"), "label", "sample_id").select("sample_id", "label")
 
 
 @query(f"WITH {sql.SAMPLES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql.hash_order(42, 'sample_id')}, sample_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM samples) SELECT sample_id, label, CASE WHEN k <= round(n * 0.15) THEN 'val' ELSE 'train' END AS part FROM ranked")
 def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.stratified_split(_samples(spark, folder).select("sample_id", "label"), "label", "sample_id").select("sample_id", "label", "part")
+    return corpus.stratified_split(_samples(spark, folder, "label").select("sample_id", "label"), "label", "sample_id").select("sample_id", "label", "part")
 
 
 @query(f"WITH {sql.SAMPLES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {sql.hash_order(7, 'sample_id')}, sample_id) AS k FROM samples) SELECT sample_id, label, ((k - 1) % 5)::INT AS fold FROM ranked")
 def kfold_assign(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.kfold(_samples(spark, folder).select("sample_id", "label"), "label", "sample_id", seed=7).select("sample_id", "label", "fold")
+    return corpus.kfold(_samples(spark, folder, "label").select("sample_id", "label"), "label", "sample_id", seed=7).select("sample_id", "label", "fold")
 
 
 @query(f"WITH {sql.SAMPLES} SELECT split, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative FROM samples WHERE split IS NOT NULL GROUP BY 1")
 def class_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.class_counts(_samples(spark, folder), "split", "label")
+    return corpus.class_counts(_samples(spark, folder, "split", "label"), "split", "label")
 
 
 @query(f"WITH {sql.SAMPLES} SELECT source_type, count(*) AS n FROM samples WHERE label = 0 GROUP BY 1")
 def negative_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return _samples(spark, folder).filter("label = 0").groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+    return _samples(spark, folder, "source_type", "label").filter("label = 0").groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {sql.SAMPLES} SELECT build_id, sha256(coalesce(array_to_string(list_sort(list(text) FILTER (text IS NOT NULL)), chr(10)), '')) AS text_hash FROM samples GROUP BY 1")
 def corpus_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.corpus_hash(_samples(spark, folder), "text", ["build_id"])
+    return corpus.corpus_hash(_samples(spark, folder, "build_id", "text"), "text", ["build_id"])
 
 
 @query()
 def corpus_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.corpus_fingerprint(_samples(spark, folder), "text")
+    return corpus.corpus_fingerprint(_samples(spark, folder, "text"), "text")
 
 
 @query(f"WITH {sql.SAMPLES}, a AS (SELECT build_id, sha256(coalesce(array_to_string(list_sort(list(text) FILTER (text IS NOT NULL)), chr(10)), '')) AS actual_hash FROM samples GROUP BY 1), m AS (SELECT build_id, text_hash AS manifest_hash FROM manifest) SELECT build_id, actual_hash, manifest_hash FROM a FULL JOIN m USING (build_id) WHERE actual_hash IS DISTINCT FROM manifest_hash")
 def manifest_drift(spark: SparkSession, folder: str) -> DataFrame:
-    actual = corpus.corpus_hash(_samples(spark, folder), "text", ["build_id"])
+    actual = corpus.corpus_hash(_samples(spark, folder, "build_id", "text"), "text", ["build_id"])
     return corpus.drifted(actual, table(spark, folder, "manifest"), "build_id")
 
 
@@ -143,7 +143,7 @@ _COUNTS = "SELECT build_id, split, count(*) FILTER (label = 1) AS positive, coun
 
 @query(f"WITH {sql.SAMPLES} {_COUNTS}")
 def corpus_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _samples(spark, folder).filter("split is not null")
+    rows = _samples(spark, folder, "build_id", "split", "label").filter("split is not null")
     return rows.groupBy("build_id", "split").agg(F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))
 
 
@@ -181,14 +181,14 @@ def control_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """The first 500 prompts by id: the limit is the feature."""
     style = F.coalesce("style", F.lit("standard"))
     language = tx.infer_language(tx.strip(F.col("text")))
-    rows = _texts(spark, folder).filter("label = 1").select("sample_id", pr.seed_and_continuation(F.col("text"))["seed"].alias("raw_prompt"), style.alias("style"), language.alias("language"))
+    rows = _texts(spark, folder, "label", "style").filter("label = 1").select("sample_id", pr.seed_and_continuation(F.col("text"))["seed"].alias("raw_prompt"), style.alias("style"), language.alias("language"))
     rows = rows.filter(tx.word_count(F.col("raw_prompt")) >= 5).orderBy("sample_id").limit(500)
     return rows.select("sample_id", pr.control_prompt(F.col("raw_prompt"), F.col("style"), F.col("language")).alias("prompt"), "raw_prompt", "style", "language")
 
 
 @query(f"WITH {sql.SEEDS} SELECT sample_id, {sql.control_prompt('seed', _STYLE, sql.infer_language('t'))} AS prompt, continuation AS completion FROM seeds WHERE label = 1 AND split = 'train' AND {sql.words('seed')} >= 5 AND {sql.words('continuation')} >= 5")
 def sft_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _texts(spark, folder).filter("label = 1 and split = 'train'").withColumn("p", pr.seed_and_continuation(F.col("text"))).select("sample_id", "p.seed", F.col("p.continuation").alias("completion"), F.coalesce("style", F.lit("standard")).alias("style"), tx.infer_language(tx.strip(F.col("text"))).alias("language"))
+    rows = _texts(spark, folder, "label", "style", "split").filter("label = 1 and split = 'train'").withColumn("p", pr.seed_and_continuation(F.col("text"))).select("sample_id", "p.seed", F.col("p.continuation").alias("completion"), F.coalesce("style", F.lit("standard")).alias("style"), tx.infer_language(tx.strip(F.col("text"))).alias("language"))
     rows = rows.filter((tx.word_count(F.col("seed")) >= 5) & (tx.word_count(F.col("completion")) >= 5))
     return rows.select("sample_id", pr.control_prompt(F.col("seed"), F.col("style"), F.col("language")).alias("prompt"), "completion")
 
@@ -211,19 +211,19 @@ _COUNT = f"{sql.COMPLETIONS}, t AS (SELECT completion_id, {sql.content_tokens('g
 
 @query(f"WITH {_COUNT} SELECT completion_id, array_to_string(tt, ' ') AS tokens, len(tt)::INT AS n FROM t")
 def content_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _completions(spark, folder).filter("grpo_completion is not null").withColumn("t", ng.content_tokens(F.col("grpo_completion")))
+    rows = _completions(spark, folder, "grpo_completion").filter("grpo_completion is not null").withColumn("t", ng.content_tokens(F.col("grpo_completion")))
     return rows.select("completion_id", F.array_join("t", " ").alias("tokens"), F.size("t").alias("n"))
 
 
 @query(f"WITH {_COUNT} SELECT completion_id, gram FROM (SELECT completion_id, unnest({sql.distinct_windows('tt', 3)}) AS gram FROM t)")
 def ngrams(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _completions(spark, folder).filter("grpo_completion is not null")
+    rows = _completions(spark, folder, "grpo_completion").filter("grpo_completion is not null")
     return rows.select("completion_id", F.explode(ng.ngrams(ng.content_tokens(F.col("grpo_completion")), 3)).alias("gram"))
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    reference = scoring.reference_ngrams(_texts(spark, folder), "text", 8)
-    return scoring.score(_completions(spark, folder).drop("grpo_reward_breakdown"), "completion_id", "grpo_completion", "prompt", "grpo_style_score", _tokens(), reference)
+    reference = scoring.reference_ngrams(_texts(spark, folder, "label"), "text", 8)
+    return scoring.score(_completions(spark, folder, "run_id", "pos", "prompt", "grpo_completion", "grpo_style_score"), "completion_id", "grpo_completion", "prompt", "grpo_style_score", _tokens(), reference)
 
 
 def _part(name: str, column: str, weight: float) -> None:
@@ -242,7 +242,7 @@ for _name, _column, _weight in (("repetition_penalty", "repetition_penalty", 0.1
 
 @query("SELECT completion_id, round(max(CASE WHEN grpo_style_score IS NOT NULL THEN 1 / (1 + exp(-ln(least(greatest(grpo_style_score, 1e-5), 1 - 1e-5) / (1 - least(greatest(grpo_style_score, 1e-5), 1 - 1e-5))) / 2)) END), 9) AS scaled FROM eval_completions GROUP BY 1")
 def temperature_scale(spark: SparkSession, folder: str) -> DataFrame:
-    return _completions(spark, folder).select("completion_id", F.round(rw.temperature_scale(F.col("grpo_style_score"), 2.0), 9).alias("scaled"))
+    return _completions(spark, folder, "grpo_style_score").select("completion_id", F.round(rw.temperature_scale(F.col("grpo_style_score"), 2.0), 9).alias("scaled"))
 
 
 _PARTS = ["total", "raw_style_prob", *rw.COMPONENTS]
@@ -256,7 +256,7 @@ def reward_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 def _breakdowns(spark: SparkSession, folder: str) -> DataFrame:
     """Stored breakdowns with groups: contiguous runs of prompts that begin
     alike, as each prompt stands once in a run."""
-    rows = _completions(spark, folder).filter("grpo_reward_breakdown is not null").select("completion_id", "run_id", "pos", F.substring("prompt", 1, 1).alias("prompt"), "grpo_reward_breakdown.*")
+    rows = _completions(spark, folder, "run_id", "pos", "prompt", "grpo_reward_breakdown").filter("grpo_reward_breakdown is not null").select("completion_id", "run_id", "pos", F.substring("prompt", 1, 1).alias("prompt"), "grpo_reward_breakdown.*")
     return scoring.group_runs(rows, ["run_id"], "pos", "prompt")
 
 
@@ -294,7 +294,7 @@ def components_without_spread(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {sql.COMPLETIONS}, b AS (SELECT run_id, floor(pos / 4)::INT AS group_no, grpo_reward_breakdown.total AS total FROM completions WHERE grpo_reward_breakdown IS NOT NULL) SELECT run_id, group_no, count(*) AS size, round(avg(total), 9) AS mean FROM b GROUP BY 1, 2")
 def reward_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _completions(spark, folder).filter("grpo_reward_breakdown is not null").select("run_id", "pos", "grpo_reward_breakdown.total")
+    rows = _completions(spark, folder, "run_id", "pos", "grpo_reward_breakdown").filter("grpo_reward_breakdown is not null").select("run_id", "pos", "grpo_reward_breakdown.total")
     return _rounded(scoring.group_chunks(rows, "pos", 4).groupBy("run_id", "group_no").agg(F.count(F.lit(1)).alias("size"), F.avg("total").alias("mean")))
 
 
@@ -305,7 +305,7 @@ _GRAMS = f"{sql.COMPLETIONS}, w AS (SELECT run_id, {sql.word_list('lower(grpo_co
 
 @query(f"WITH {_GRAMS}, g1 AS (SELECT run_id, unnest({sql.windows('ws', 1)}) AS g FROM w), g2 AS (SELECT run_id, unnest({sql.windows('ws', 2)}) AS g FROM w) SELECT run_id, round(d1, 9) AS distinct_1, round(d2, 9) AS distinct_2 FROM (SELECT run_id, count(DISTINCT g) / count(*) AS d1 FROM g1 GROUP BY 1) JOIN (SELECT run_id, count(DISTINCT g) / count(*) AS d2 FROM g2 GROUP BY 1) USING (run_id)")
 def distinct_n(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _completions(spark, folder).filter("grpo_completion is not null")
+    rows = _completions(spark, folder, "run_id", "grpo_completion").filter("grpo_completion is not null")
     return _rounded(evaluation.distinct_n(rows, "grpo_completion", 1, ["run_id"]).join(evaluation.distinct_n(rows, "grpo_completion", 2, ["run_id"]), "run_id"))
 
 
@@ -314,13 +314,13 @@ _STYLE_SQL = f"round(avg(grpo_style_score), 9) AS style_score_mean, round(stddev
 
 @query(f"WITH {sql.COMPLETIONS} SELECT run_id, {_STYLE_SQL} FROM completions GROUP BY 1")
 def style_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _completions(spark, folder)
+    rows = _completions(spark, folder, "run_id", "grpo_completion", "grpo_style_score")
     return _rounded(evaluation.style_stats(rows, "grpo_style_score", ["run_id"]).join(evaluation.length_stats(rows, "grpo_completion", ["run_id"]), "run_id"))
 
 
 @query(f"WITH {sql.COMPLETIONS} SELECT {sql.infer_language('prompt')} AS language, {_STYLE_SQL} FROM completions GROUP BY 1")
 def metrics_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _completions(spark, folder).withColumn("language", tx.infer_language(pr.seed_of_prompt(F.col("prompt"))))
+    rows = _completions(spark, folder, "prompt", "grpo_completion", "grpo_style_score").withColumn("language", tx.infer_language(pr.seed_of_prompt(F.col("prompt"))))
     return _rounded(evaluation.style_stats(rows, "grpo_style_score", ["language"]).join(evaluation.length_stats(rows, "grpo_completion", ["language"]), "language"))
 
 
@@ -329,7 +329,7 @@ _LENGTHS = f"{sql.TEXTS}, r AS (SELECT {sql.detect_language('text')} AS language
 
 @query(f"WITH {_LENGTHS} SELECT language, n, tokens_per_word, max_tokens, over_budget, {sql.value_at('ws', 'n', 0.5)}::INT AS median_words, {sql.value_at('ts', 'n', 0.5)} AS median_tokens, {sql.value_at('ts', 'n', 0.9)} AS p90_tokens FROM l")
 def length_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _texts(spark, folder).filter("label = 1").select(tx.detect_language(F.col("text")).alias("language"), tx.word_count(F.col("text")).alias("words"), F.floor(F.length("text") / 4).alias("tokens"))
+    rows = _texts(spark, folder, "label").filter("label = 1").select(tx.detect_language(F.col("text")).alias("language"), tx.word_count(F.col("text")).alias("words"), F.floor(F.length("text") / 4).alias("tokens"))
     return _rounded(evaluation.length_report(rows, "language", "words", "tokens", 60))
 
 
@@ -354,14 +354,14 @@ def probe_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {sql.COMPLETIONS} SELECT run_id, round(exp(sum(l * w) / sum(w)), 9) AS perplexity FROM (SELECT run_id, 1 - grpo_style_score AS l, {sql.words('grpo_completion')} AS w FROM completions WHERE grpo_style_score IS NOT NULL AND grpo_completion IS NOT NULL) GROUP BY 1")
 def perplexity_agg(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _completions(spark, folder).filter("grpo_style_score is not null and grpo_completion is not null").select("run_id", (1 - F.col("grpo_style_score")).alias("loss"), tx.word_count(F.col("grpo_completion")).alias("tokens"))
+    rows = _completions(spark, folder, "run_id", "grpo_completion", "grpo_style_score").filter("grpo_style_score is not null and grpo_completion is not null").select("run_id", (1 - F.col("grpo_style_score")).alias("loss"), tx.word_count(F.col("grpo_completion")).alias("tokens"))
     return _rounded(evaluation.perplexity(rows, "loss", "tokens", ["run_id"]))
 
 
 @query(f"WITH {sql.COMPLETIONS}, r AS (SELECT DISTINCT run_id, model FROM eval_runs) SELECT model, {', '.join(f'round(avg(grpo_reward_breakdown.{c}), 13) AS {c}' for c in _PARTS)} FROM completions JOIN r USING (run_id) GROUP BY 1")
 def reward_means(spark: SparkSession, folder: str) -> DataFrame:
     runs = table(spark, folder, "eval_runs").select("run_id", "model").distinct()
-    rows = _completions(spark, folder).select("run_id", "grpo_reward_breakdown.*").join(runs, "run_id")
+    rows = _completions(spark, folder, "run_id", "grpo_reward_breakdown").select("run_id", "grpo_reward_breakdown.*").join(runs, "run_id")
     return _rounded(rows.groupBy("model").agg(*(F.avg(c).alias(c) for c in _PARTS)), 13)
 
 
@@ -376,7 +376,7 @@ pairs AS (SELECT a.prompt, round(a.grpo_style_score, 9) AS a, round(b.grpo_style
 
 def _model_rows(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     runs = table(spark, folder, "eval_runs").filter(F.col("model").endswith(suffix)).select("run_id").distinct()
-    return _completions(spark, folder).join(runs, "run_id", "left_semi").withColumn("at", F.struct("run_id", "pos"))
+    return _completions(spark, folder, "run_id", "pos", "prompt", "grpo_completion", "grpo_style_score").join(runs, "run_id", "left_semi").withColumn("at", F.struct("run_id", "pos"))
 
 
 def _compared(spark: SparkSession, folder: str) -> DataFrame:
@@ -428,7 +428,7 @@ def _correlation_sql(x: str, y: str) -> str:
 
 @query(f"WITH {sql.COMPLETIONS} " + " UNION ALL ".join(_correlation_sql(x, y) for x, y in PAIRS))
 def component_correlation(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _completions(spark, folder).filter("grpo_reward_breakdown is not null").select("grpo_reward_breakdown.*")
+    rows = _completions(spark, folder, "grpo_reward_breakdown").filter("grpo_reward_breakdown is not null").select("grpo_reward_breakdown.*")
     out: DataFrame | None = None
     for x, y in PAIRS:
         one = evaluation.correlate(rows, x, y).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "*")
@@ -439,7 +439,7 @@ def component_correlation(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {sql.SAMPLES} SELECT sample_id FROM samples WHERE label = 1 AND sample_id NOT IN (SELECT doc_id FROM documents)")
 def resume_antijoin(spark: SparkSession, folder: str) -> DataFrame:
     done = table(spark, folder, "documents").select(F.col("doc_id").alias("sample_id"))
-    return corpus.with_unfinished(_samples(spark, folder).filter("label = 1").select("sample_id"), done, "sample_id")
+    return corpus.with_unfinished(_samples(spark, folder, "label").filter("label = 1").select("sample_id"), done, "sample_id")
 
 
 _HUMAN = f"{sql.TEXTS}, {sql.COMPLETIONS}, real AS (SELECT sample_id AS id, {sql.strip('text')} AS text, 'real' AS origin, {sql.hash_order(42, 'sample_id')} AS h FROM texts WHERE label = 1 AND {sql.strip('text')} <> '' ORDER BY h, id LIMIT 20), made AS (SELECT completion_id AS id, {sql.strip('grpo_completion')} AS text, 'generated' AS origin, {sql.hash_order(42, 'completion_id')} AS h FROM completions WHERE {sql.strip('grpo_completion')} <> '' ORDER BY h, id LIMIT 20)"
@@ -448,8 +448,8 @@ _HUMAN = f"{sql.TEXTS}, {sql.COMPLETIONS}, real AS (SELECT sample_id AS id, {sql
 @query(f"WITH {_HUMAN} SELECT id, origin, text, row_number() OVER (ORDER BY md5('42|' || origin || '|' || id::VARCHAR), id)::INT AS number FROM (SELECT * FROM real UNION ALL SELECT * FROM made)")
 def human_eval_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty of each origin, mixed and numbered: sampling is the feature."""
-    real = _texts(spark, folder).filter("label = 1").select(F.col("sample_id").alias("id"), tx.strip(F.col("text")).alias("text"), F.lit("real").alias("origin"))
-    made = _completions(spark, folder).select(F.col("completion_id").alias("id"), tx.strip(F.col("grpo_completion")).alias("text"), F.lit("generated").alias("origin"))
+    real = _texts(spark, folder, "label").filter("label = 1").select(F.col("sample_id").alias("id"), tx.strip(F.col("text")).alias("text"), F.lit("real").alias("origin"))
+    made = _completions(spark, folder, "grpo_completion").select(F.col("completion_id").alias("id"), tx.strip(F.col("grpo_completion")).alias("text"), F.lit("generated").alias("origin"))
     both = corpus.sample_by_hash(real.filter("text != ''"), "id", 20).unionByName(corpus.sample_by_hash(made.filter("text != ''"), "id", 20))
     return hash_rank(both, [], seeded_hash(42, "origin", "id"), "id", "number").withColumn("number", F.col("number").cast("int"))
 
@@ -457,7 +457,7 @@ def human_eval_sample(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {sql.COMPLETIONS} SELECT DISTINCT ON (prompt) prompt, run_id, pos FROM completions ORDER BY prompt, run_id, pos")
 def first_prompts(spark: SparkSession, folder: str) -> DataFrame:
     """Each prompt once, where it first stands."""
-    return _completions(spark, folder).groupBy("prompt").agg(F.min(F.struct("run_id", "pos")).alias("r")).select("prompt", "r.*")
+    return _completions(spark, folder, "prompt", "run_id", "pos").groupBy("prompt").agg(F.min(F.struct("run_id", "pos")).alias("r")).select("prompt", "r.*")
 
 
 # features ---------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,8 +93,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def latest(df: DataFrame, key: str, by: Column | str) -> DataFrame:
+def latest(df: DataFrame, key: str, by: str, columns: list[str] | None = None) -> DataFrame:
     """One row per ``key``: the one delivered last; a tie takes the greatest
-    row. Null keys count as one key."""
-    rows = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(F.col(by) if isinstance(by, str) else by, F.xxhash64(*df.columns))).alias("__row"))
+    row. Null keys count as one key. Only ``columns`` (all by default) are read
+    and moved; name the ones that are needed."""
+    kept = columns or df.columns
+    rows = df.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct(by, F.xxhash64(*kept))).alias("__row"))
     return rows.select("__row.*")

@@ -85,7 +85,7 @@ def test_joins_and_guards(spark):
     kept = corpus.keep_same_language(a.withColumn("c", F.lit("the dog and you")), a, "k", F.col("c"), F.col("text"))
     assert [r.k for r in kept.collect()] == [1]
     late = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", None), (None, "d", 1)], "k int, v string, at int")
-    assert sorted(((r.k or 0), r.v) for r in latest(late, "k", "at").collect()) == [(0, "d"), (1, "b"), (2, "c")]
+    assert sorted(((r.k or 0), r.v) for r in latest(late, "k", "at", ["k", "v"]).collect()) == [(0, "d"), (1, "b"), (2, "c")]
 
 
 def test_groups(spark):
