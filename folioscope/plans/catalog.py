@@ -11,7 +11,7 @@ from ..functions import ngrams as ng
 from ..functions import prompts as pr
 from ..functions import rewards as rw
 from ..functions import text as tx
-from ..operators import corpus, evaluation, scoring
+from ..operators import corpus, evaluation, models, scoring
 from ..operators.ranking import hash_rank, seeded_hash
 from ..session import latest, prepare, table
 from . import sql
@@ -513,3 +513,11 @@ def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
 def cv_summary(spark: SparkSession, folder: str) -> DataFrame:
     folds = corpus.kfold(_scored_vectors(spark, folder), "pos", "vec_id")
     return _rounded(evaluation.cv_summary(evaluation.binary_metrics(folds, "prob", "y", keys=["fold"]), ["accuracy"]))
+
+
+@query()
+def logistic_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """Folds of a linear model on the embeddings, first label against the rest."""
+    rows = table(spark, folder, "embeddings").withColumn("y", F.when(F.col("label") == 0, 1).otherwise(0)).select("vec_id", "y", "embedding")
+    folds, _ = models.cross_validate(rows, "embedding", "y", "vec_id")
+    return _rounded(folds, 4)

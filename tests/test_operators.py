@@ -9,7 +9,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import corpus, evaluation, hooks, scoring
+from folioscope.functions import payloads
+from folioscope.operators import corpus, evaluation, hooks, models, scoring
 from folioscope.operators.ranking import average_rank, hash_rank, seeded_hash, values_at
 from folioscope.session import even_rank, latest
 
@@ -210,3 +211,33 @@ def test_hooks(spark):
     pairs = hooks.sft_pairs(spark.createDataFrame([("One two three. Four five six. Seven eight nine ten eleven.", 1, None), ("short. text.", 1, "poetic"), ("x", 0, "y")], "text string, label int, style string"), "text")
     assert [r.completion for r in pairs.collect()] == ["Seven eight nine ten eleven."]
     assert {r.label for r in hooks.contrastive(df.select("t"), df.select("t"), "t").collect()} == {0, 1}
+
+
+def test_payloads(spark):
+    values = ['[{"role": "user", "content": "a"}]', '{"content": "b"}', '"c"', "plain [text", "", None, "  "]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
+    rows = df.select("i", payloads.payload_text(F.col("t")).alias("p"), payloads.or_placeholder(F.col("t")).alias("o"), payloads.rephrase_request(F.lit("x"), F.col("i")).alias("r")).orderBy("i").collect()
+    assert [r.p for r in rows] == ["a", "b", "c", "plain [text", "", None, "  "]
+    assert [r.o for r in rows[4:]] == ["empty"] * 3 and len({r.r for r in rows}) == 3
+    texts = spark.createDataFrame([("Short. More.",), ("This one is long enough. More.",), ("x" * 300 + ".",)], "t string")
+    assert [r.s for r in texts.select(payloads.opening_sentence(F.col("t")).alias("s")).collect()] == [None, "This one is long enough.", None]
+    half = spark.sql("select array(1.0D, 1.0D) a").select(payloads.second_class_probability(F.col("a")).alias("p")).collect()[0].p
+    assert half == 0.5
+
+
+def test_fit_prompts(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "p string, pos int")
+    fitted = lambda n, d=df: [r.p for r in payloads.fit_prompts(d, "pos", n).orderBy("pos").collect()]
+    assert fitted(3) == list("abc") and fitted(6) == list("aabbcc") and fitted(2) == list("ab")
+    assert fitted(4, df.filter("pos = 0")) == list("aaaa") and fitted(2, df.limit(0)) == []
+    assert payloads.zip_by_position(df, df.filter("pos > 0").withColumnRenamed("p", "q"), "pos").count() == 2
+
+
+def test_logistic(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(200):
+        y = i % 2
+        rows.append((i, y, [rnd.gauss(2 * y, 1.0), rnd.gauss(0, 1e4), 3.0]))
+    folds, summary = models.cross_validate(spark.createDataFrame(rows, "i int, y int, v array<double>"), "v", "y", "i", k=3)
+    assert folds.count() == 3 and summary.collect()[0].auc_mean > 0.85
