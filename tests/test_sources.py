@@ -111,8 +111,16 @@ def test_reward_log(spark, tmp_path):
     got = reward_log_summary(groups, ["style_score"]).collect()[0]
     assert got.groups == 4 and got.without_spread == ["style_score"]
     assert run_summary(groups, components=["style_score"]).collect()[0] == got
-    timed = windowed_counts(spark.readStream.schema("ts timestamp, k string").parquet(source + "2"), "ts", "k") if os.path.exists(source + "2") else None
-    assert timed is None
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = [("2024-01-01 00:05:00", "a"), ("2024-01-01 00:55:00", "a"), ("2024-01-01 01:05:00", "b"), (None, "a"), ("2024-01-09 00:00:00", "z")]
+    df = spark.createDataFrame(rows, "t string, k string").select(F.to_timestamp("t").alias("ts"), "k")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = windowed_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ts", "k")
+    stream.writeStream.format("memory").queryName("windowed").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    got = {(str(r.start), r.k): r.n for r in spark.sql("select window.start as start, k, n from windowed").collect()}
+    assert got == {("2024-01-01 00:00:00", "a"): 2, ("2024-01-01 01:00:00", "b"): 1, ("2024-01-09 00:00:00", "z"): 1}
 
 
 def test_queries_are_listed_without_a_session():
