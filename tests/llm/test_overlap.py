@@ -49,6 +49,24 @@ def test_pairs_equal_brute_force(spark, samples):
     assert cross_split_pairs(df.filter(F.lit(False)), "sample_id", "text", "split").count() == 0
 
 
+@pytest.mark.parametrize("n", [16, 18, 24, 29, 40, 100])
+def test_pairs_with_words_dropped_and_inserted(spark, n):
+    """Every fifth word dropped from one text and others put in elsewhere."""
+    rnd, rows, want = random.Random(n), [], set()
+    for k in range(40):
+        words = [f"w{k}x{i}" if rnd.random() < 0.3 else rnd.choice(VOCABULARY[:12]) for i in range(n)]
+        changes = n // 5
+        gone = set(rnd.sample(range(n), changes)) if k else {i * 5 for i in range(changes)}
+        other = [w for i, w in enumerate(words) if i not in gone]
+        for i in sorted(rnd.sample(range(len(other)), changes) if k else range(2, 4 * changes, 4), reverse=True):
+            other.insert(i, f"new{i}")
+        if alike(canonical_words(" ".join(words)), canonical_words(" ".join(other))):
+            want.add((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(words), "train"), (2 * k + 1, " ".join(other), "test")]
+    got = cross_split_pairs(spark.createDataFrame(rows, "sample_id long, text string, split string"), "sample_id", "text", "split")
+    assert len(want) == 40 and want <= {tuple(r) for r in got.collect()}
+
+
 def test_report(spark, samples):
     df = spark.createDataFrame(samples, "sample_id long, text string, split string, words string")
     manifest = spark.sql("select named_struct('train', named_struct('positive', 7, 'negative', 1)) as counts_per_class union all select null")
