@@ -36,6 +36,8 @@ MAX_WORDS = 300_000
 PRIOR = 0.002
 #: Log odds that a text's words must reach together against all being clean.
 EVIDENCE = 3.0
+#: How much rarer a question mark between letters is than one after a word.
+INNER_MARK = 0.01
 CLEAN = "clean"
 LOST = "lost"
 
@@ -51,6 +53,7 @@ CHAINS = (
 _WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f \t\r\n][^ \t\r\n]*")
 _SPACE = re.compile(r"[ \t\r\n]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_MARKED = re.compile(r"[a-z?'-]+")
 
 
 @lru_cache(maxsize=None)
@@ -179,6 +182,42 @@ def lexical_key(word: str) -> str:
     return word[a:b].lower() or word
 
 
+def marked_word(word: str) -> str | None:
+    """A word of ASCII letters and question marks in lower case, without other
+    punctuation at its ends, or at least three question marks that stand alone;
+    None for other words."""
+    if len(word) > 2 and not word.strip("?"):
+        return word
+    core = word.strip("!\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~").lower()
+    return core if "?" in core and _MARKED.fullmatch(core) and any("a" <= c <= "z" for c in core) else None
+
+
+def fillings(core: str) -> tuple[list[str], list[str], list[str]]:
+    """What may have been lost in a :func:`marked_word`, what it is if nothing
+    was, and what lost sign it shows by its place: its forms with any of the
+    question marks at its ends set aside, the words between the question marks,
+    and two or more before a word (with a star) or three or more alone."""
+    inner = core.strip("?")
+    if not inner:
+        return [], [], [core]
+    lead, tail = len(core) - len(core.lstrip("?")), len(core) - len(core.rstrip("?"))
+    forms = {"?" * a + inner + "?" * b for a in range(min(lead, 4) + 1) for b in range(min(tail, 4) + 1)}
+    return sorted(f for f in forms if "?" in f), [x for x in inner.split("?") if x], ["?" * lead + "*"] if lead > 1 else []
+
+
+def opening(word: str) -> str | None:
+    """A question mark for each byte of the signs before a word, if ASCII lacks
+    all of them, and a star."""
+    k = next((i for i, c in enumerate(word) if unicodedata.category(c)[0] != "P"), 0)
+    return "?" * len(word[:k].encode()) + "*" if k and all(c > "\x7f" for c in word[:k]) else None
+
+
+def masked(word: str) -> set[str]:
+    """The word with a question mark for each byte, or each character, that
+    ASCII lacks."""
+    return {"".join(c if c < "\x80" else "?" * k for c, k in zip(word, sizes, strict=True)) for sizes in ([len(c.encode("utf-8", "surrogatepass")) for c in word], [1] * len(word))}
+
+
 def odd_words(text: str) -> list[tuple[int, int]]:
     """(start, end) of the words with a character above 127."""
     return [m.span() for m in _WORD.finditer(text)]
@@ -193,6 +232,7 @@ class Classifier:
     weights: np.ndarray
     known: frozenset[str]
     lexicon: dict[str, int]
+    lost: frozenset[str] = frozenset()
     memo: dict[str, list[tuple[float, str, str]]] = field(default_factory=dict, repr=False)
 
     def scores(self, word: str) -> np.ndarray:
@@ -200,6 +240,14 @@ class Classifier:
         total = self.weights[:, list(bigrams(word))].sum(axis=1)
         return total[1:] - total[0]
 
+    def marks(self, text: str) -> int:
+        """Replacement characters, and words in which question marks stand for
+        lost letters."""
+        n = text.count("\ufffd")
+        if self.lost and "?" in text:
+            n += sum(marked_word(w) in self.lost for w in _SPACE.split(text) if "?" in w)
+        return n
+
     def lexical_odds(self, word: str, back: str) -> float:
         seen, restored = (self.lexicon.get(lexical_key(x), 0) + 0.1 for x in (word, back))
         return float(np.clip(np.log(restored / seen), -8, 8))
@@ -278,9 +326,9 @@ def fit(words: Counter[str], rounds: int = 2) -> Classifier:
 def judge(model: Classifier, text: str, rounds: int = 3) -> tuple[str | None, str, int, float]:
     """(chain, restored text, garbled words, log odds). The chain is null for a
     text without a garbled stretch, and ``lost`` where only replacement
-    characters show it. A text may hold stretches of several chains; the one
+    characters or question marks show it. A text may hold stretches of several chains; the one
     with the most words is named."""
-    lost = text.count("�")
+    lost = model.marks(text)
     spans = odd_words(text)
     prior = float(np.log(PRIOR / (1 - PRIOR)))
     readings = [(a, b, model.readings(text[a:b])) for a, b in spans]
@@ -320,6 +368,12 @@ def sample_words(df: DataFrame, text_col: str, texts: int = SAMPLE_TEXTS) -> Cou
     total = rows.count()
     part = min(1.0, texts / max(total, 1))
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(part * 1_000_000))
+    counted = count_words(sample)
+    return Counter({r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()})
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, n) over all rows of ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -328,8 +382,41 @@ def sample_words(df: DataFrame, text_col: str, texts: int = SAMPLE_TEXTS) -> Cou
                 counts.update(w for w in _SPACE.split(text) if 0 < len(w) <= 200)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    counted = sample.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Counter({r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()})
+    return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def lost_words(counted: DataFrame) -> frozenset[str]:
+    """The words (see :func:`marked_word`) of which question marks are taken for
+    lost letters or signs: filled, the word is one that stands at least twice,
+    and more than four times as often as what it is with nothing lost; or signs
+    of so many bytes stand before words, or alone, at least twice. From
+    :func:`count_words` of all texts; what comes back is as many words as are
+    lost, not the lexicon."""
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cores = {c for w in batch.column(0).to_pylist() if (c := marked_word(w))}
+            rows = [{"core": c, "form": x, "kind": kind} for c in cores for kind, xs in zip(("fill", "part", "sign"), fillings(c), strict=True) for x in set(xs)]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(name, pa.string()) for name in ("core", "form", "kind")]))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms: Counter[str] = Counter()
+            for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = lexical_key(w)
+                for form in [key] if key.isascii() else masked(key):
+                    forms[form] += n
+                if sign := opening(w):
+                    forms[sign] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(forms), pa.string()), pa.array(list(forms.values()), pa.int64())], names=["form", "n"])
+
+    words = counted.filter(F.contains("word", F.lit("?"))).select("word").mapInArrow(wanted, "core string, form string, kind string").distinct()
+    forms = counted.filter(~F.contains("word", F.lit("?"))).mapInArrow(known, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+    by = words.join(forms, "form", "left").groupBy("core").agg(F.max(F.when(F.col("kind") == "fill", F.col("n"))).alias("restored"), F.min(F.when(F.col("kind") == "part", F.coalesce("n", F.lit(0)))).alias("seen"), F.max(F.when(F.col("kind") == "sign", F.col("n"))).alias("sign"))
+    inner = F.contains(F.trim(F.lit("?"), F.col("core")), F.lit("?"))
+    filled = (F.col("restored") > 1) & (F.col("restored") > 4 * F.col("seen") * F.when(inner, INNER_MARK).otherwise(1.0))
+    found = by.filter((F.col("sign") > 1) | filled)
+    return frozenset(r["core"] for r in found.select("core").collect())
 
 
 def garbled_texts(df: DataFrame, id_col: str, text_col: str, model: Classifier) -> DataFrame:
@@ -337,9 +424,10 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, model: Classifier)
     least one stretch was read in a wrong encoding.
 
     ``chain`` names the encodings (``lost`` where only replacement characters
-    are left); ``restored`` has the original text where each garbled word
-    could be inverted, else null. A narrow map over whole texts; null, empty
-    and ASCII texts give no row, repeated rows one each.
+    or question marks are left); ``restored`` has the original text where each garbled word
+    could be inverted, else null. A narrow map over whole texts; null and
+    empty texts give no row, nor do ASCII texts without lost letters; repeated
+    rows one each.
     """
     model.memo.clear()
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: weights and a lexicon
@@ -348,12 +436,12 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, model: Classifier)
         for batch in batches:
             rows, found = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                if not text or text.isascii():
+                if not text or (text.isascii() and "?" not in text):
                     continue
                 chain, restored, words, odds = judge(shared.value, text)
                 if chain:
                     rows.append(row)
-                    found.append((chain, None if "\ufffd" in restored else restored, words, odds))
+                    found.append((chain, None if shared.value.marks(restored) else restored, words, odds))
             columns = list(zip(*found, strict=True)) or [()] * 4
             kinds = [pa.string(), pa.string(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "chain", "restored", "garbled_words", "log_odds"])
@@ -364,5 +452,8 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, model: Classifier)
 
 
 def find_garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Fits the classifier on a sample of ``df`` and applies it to all rows."""
-    return garbled_texts(df, id_col, text_col, fit(sample_words(df, text_col)))
+    """Fits the classifier on a sample of ``df``, looks for lost letters with the
+    words of all rows and applies both to all rows."""
+    model = fit(sample_words(df, text_col))
+    model.lost = lost_words(count_words(df.select(F.col(text_col).alias("text")).filter("text is not null")))
+    return garbled_texts(df, id_col, text_col, model)

@@ -179,3 +179,15 @@ def test_garbled_rows(spark):
     assert right >= 0.9 * (len(bad) // 2)
     assert find_garbled(df.limit(0), "doc_id", "text").count() == 0
     assert odd_words("a ñb c—d") == [(2, 4), (5, 8)]
+
+
+def test_letters_lost_to_question_marks(spark):
+    plain = " ".join(SPANISH)
+    clean = ["Is this the end? What?? No!", "page?id=3 x??y", "el niño? la razón?", "¿qué razón? la estación??", "simple? jardin?", "a ? b ?? c", "casa?", "No!!!???"]
+    rows = [(k, plain + " — “hola”") for k in range(4)] + list(enumerate(clean, 10))
+    utf8 = lambda t: t.encode().decode("ascii", "replace").replace("\ufffd", "?")
+    bad = {100: utf8("la razón"), 101: "la raz?n perdida", 102: utf8("“Canción? número!”"), 103: utf8("también, corazón y niño"), 104: utf8("enseñó") + " lección", 105: utf8("lección según?"), 106: utf8("the end — “so”"), 107: utf8("by “Anna”"), 108: utf8("here — there")}
+    df = spark.createDataFrame(rows + list(bad.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in find_garbled(df, "doc_id", "text").collect()}
+    assert set(got) == set(bad)
+    assert all(r.chain == "lost" and r.restored is None and r.garbled_words > 0 for r in got.values())
