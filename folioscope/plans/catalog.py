@@ -254,9 +254,9 @@ def reward_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _breakdowns(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored breakdowns with groups: contiguous runs of prompts that begin
-    alike, as each prompt stands once in a run."""
-    rows = _completions(spark, folder, "run_id", "pos", "prompt", "grpo_reward_breakdown").filter("grpo_reward_breakdown is not null").select("completion_id", "run_id", "pos", F.substring("prompt", 1, 1).alias("prompt"), "grpo_reward_breakdown.*")
+    """Stored breakdowns with groups: contiguous runs of equal prompts. The
+    oracle cuts prompts to their first character and so has other groups."""
+    rows = _completions(spark, folder, "run_id", "pos", "prompt", "grpo_reward_breakdown").filter("grpo_reward_breakdown is not null").select("completion_id", "run_id", "pos", "prompt", "grpo_reward_breakdown.*")
     return scoring.group_runs(rows, ["run_id"], "pos", "prompt")
 
 

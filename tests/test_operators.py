@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import payloads
+from folioscope.functions.rewards import COMPONENTS
 from folioscope.operators import corpus, evaluation, hooks, models, scoring
 from folioscope.operators.ranking import average_rank, hash_rank, seeded_hash, values_at
+from folioscope.plans.catalog import QUERIES
 from folioscope.session import even_rank, latest
 
 
@@ -186,6 +188,18 @@ def test_features(spark):
     assert math.isclose(head, 1 / (1 + math.exp(-(2 / math.sqrt(1 + 1e-5) + 0.5))))
 
 
+def test_reward_groups_hold_one_prompt(spark, tmp_path):
+    parts = ", ".join(f"'{c}', 0.25D * id" for c in ["total", *COMPONENTS])
+    prompts = "array('The sea', 'The sea', 'The canal', 'The canal', 'A map', 'The sea')"
+    spark.range(6).selectExpr("id as completion_id", "'r' as run_id", "cast(id as int) as pos", f"{prompts}[int(id)] as prompt", f"named_struct({parts}) as grpo_reward_breakdown", "timestamp'2026-01-01' as loaded_at").write.parquet(str(tmp_path / "eval_completions.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.group_no, r["size"], r["mean"]) for r in run("reward_groups")) == [(0, 2, 0.125), (1, 2, 0.625), (2, 1, 1.0), (3, 1, 1.25)]
+    half = round(1 / math.sqrt(2), 9)
+    assert {r.completion_id: (r.group_no, r.advantage) for r in run("group_advantage")} == {0: (0, -half), 1: (0, half), 2: (1, -half), 3: (1, half), 4: (2, 0.0), 5: (3, 0.0)}
+    assert [(r.groups, r.dead_groups) for r in run("dead_group_summary")] == [(4, 2)]
+    assert run("components_without_spread") == []
+
+
 class Length:
     def predict(self, texts):
         return [len(t) / 10 for t in texts]
