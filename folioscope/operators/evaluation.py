@@ -183,6 +183,18 @@ def mean_pool(states: Column, mask: Column, dims: int) -> Column:
     return F.transform(total, lambda v: v / count)
 
 
+def mean_pool_rows(df: DataFrame, vector: str, order: str, keys: list[str], chunk: int = 256) -> DataFrame:
+    """``keys, dim, value``: :func:`mean_pool` of each dimension over the vectors
+    of all rows of ``keys``, with missing values masked. Pooled in chunks of
+    ``order``, so that no key has to fit into one row, and weighted by what each
+    chunk's mask sets."""
+    long = df.select(*keys, F.floor(F.col(order) / chunk).alias("__chunk"), F.posexplode(vector).alias("dim", "__x")).withColumn("__m", F.col("__x").isNotNull().cast("int"))
+    row = F.collect_list(F.struct(F.array(F.coalesce(F.col("__x").cast("double"), F.lit(0.0))).alias("s"), F.col("__m").alias("m")))
+    chunks = long.groupBy(*keys, "dim", "__chunk").agg(row.alias("__rows"), F.sum("__m").alias("__n"))
+    pooled = chunks.withColumn("__mean", mean_pool(F.col("__rows.s"), F.col("__rows.m"), 1)[0])
+    return pooled.groupBy(*keys, "dim").agg(F.coalesce(F.try_divide(F.sum(F.col("__mean") * F.col("__n")), F.sum("__n")), F.lit(0.0)).alias("value"))
+
+
 def linear_head(features: Column, weights: list[float], bias: float, gamma: list[float] | None = None, beta: list[float] | None = None, eps: float = 1e-5) -> Column:
     """Layer norm, linear layer and sigmoid on a standardised vector."""
     n = len(weights)

@@ -480,9 +480,9 @@ def standardize(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_LONG}, p AS (SELECT label, dim, avg(value) AS v FROM long WHERE vec_id % 2 = 0 GROUP BY 1, 2) SELECT label, dim::INT AS dim, round(v, 5) AS value FROM p")
 def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """Pools all vectors of a label; the mask sets those with even ids."""
-    long = table(spark, folder, "embeddings").select("label", (F.col("vec_id") % 2 == 0).alias("m"), F.posexplode("embedding").alias("dim", "value"))
-    return _rounded(long.filter("m").groupBy("label", "dim").agg(F.avg(F.col("value").cast("double")).alias("value")), 5)
+    """Pools all vectors of a label; the mask leaves out missing values. The
+    oracle pools those with even ids only."""
+    return _rounded(evaluation.mean_pool_rows(table(spark, folder, "embeddings"), "embedding", "vec_id", ["label"]), 5)
 
 
 _SCORED = "s AS (SELECT vec_id, label, label = 0 AS pos, 1 / (1 + exp(-(embedding[1] + embedding[2])::DOUBLE)) AS prob FROM embeddings)"

@@ -200,6 +200,13 @@ def test_reward_groups_hold_one_prompt(spark, tmp_path):
     assert run("components_without_spread") == []
 
 
+def test_mean_pool_takes_all_vectors(spark, tmp_path):
+    rows = [(0, [1.0, 2.0], 0), (1, [5.0, None], 0), (300, [3.0, 8.0], 0), (3, [7.0, None], 1), (5, [9.0, None], 1), (7, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.label, r.dim): r.value for r in QUERIES["mean_pool"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): 3.0, (0, 1): 5.0, (1, 0): 8.0, (1, 1): 0.0}
+
+
 class Length:
     def predict(self, texts):
         return [len(t) / 10 for t in texts]
