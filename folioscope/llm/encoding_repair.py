@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Bits of the hash of a byte bigram.
 HASH_BITS = 14
 #: The classifier is fitted on at most about so many texts, taken by hash.
@@ -291,12 +293,15 @@ class Classifier:
         return sorted(found, key=lambda x: -x[0])
 
 
+def _utf8_read_wrong(word: str) -> bool:
+    return any((b := invert(r, c)) is not None and b != r for r in _RUN.findall(word) for c in CHAINS if c.startswith("utf-8"))
+
+
 def fit(words: Counter[str], rounds: int = 2) -> Classifier:
     """From words (with counts) of which most are clean; those of ASCII serve
     the lexicon only. Words that a UTF-8 chain decodes are left out; so are, from the second round on, words that
     the classifier of the round before takes for garbled."""
-    utf8 = [c for c in CHAINS if c.startswith("utf-8")]
-    clean = {w: n for w, n in words.items() if "�" not in w and not any((b := invert(r, c)) is not None and b != r for r in _RUN.findall(w) for c in utf8)}
+    clean = {w: n for w, n in words.items() if "�" not in w and not _utf8_read_wrong(w)}
     chains = list(CHAINS)
     model = None
     known: set[str] = set()
@@ -385,6 +390,34 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def with_lexicon(model: Classifier, counted: DataFrame) -> Classifier:
+    """The classifier with lexicon and characters of all words, from
+    :func:`count_words` of all texts, without those that it takes for garbled.
+    Of the lexicon it keeps the words that it can ask for: those with a
+    character above 127 and what they may be restored to."""
+    shared = counted.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge_words = shared.value
+        for batch in batches:
+            found: Counter[tuple[str, str]] = Counter()
+            for w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not w.isascii():
+                    backs = (_invert_runs(w, c)[0] for c in judge_words.chains)
+                    found.update({("asked", lexical_key(x)): 0 for x in (w, *backs) if x})
+                    if "\ufffd" in w or _utf8_read_wrong(w) or ((r := judge_words.readings(w)) and r[0][0] >= EVIDENCE):
+                        continue
+                    found.update({("letter", c): n for c in set(w)})
+                found[("word", lexical_key(w))] += n
+            kinds, keys = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(list(found.values()), pa.int64())], names=["kind", "key", "n"])
+
+    sums = cut_lineage(counted.mapInArrow(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    words = sums.filter("kind = 'word' and n > 1").join(sums.filter("kind = 'asked'").select("key"), "key", "left_semi")
+    known = {r["key"] for r in sums.filter("kind = 'letter' and n > 1").collect()}
+    return Classifier(model.chains, model.weights, model.known | known, {r["key"]: r["n"] for r in words.collect()})
+
+
 def lost_words(counted: DataFrame) -> frozenset[str]:
     """The words (see :func:`marked_word`) of which question marks are taken for
     lost letters or signs: filled, the word is one that stands at least twice,
@@ -452,8 +485,10 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, model: Classifier)
 
 
 def find_garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Fits the classifier on a sample of ``df``, looks for lost letters with the
-    words of all rows and applies both to all rows."""
-    model = fit(sample_words(df, text_col))
-    model.lost = lost_words(count_words(df.select(F.col(text_col).alias("text")).filter("text is not null")))
+    """Fits the classifier's weights on a sample of ``df``, takes lexicon,
+    characters and lost letters from the words of all rows and applies them to
+    all rows."""
+    counted = cut_lineage(count_words(df.select(F.col(text_col).alias("text")).filter("text is not null")))
+    model = with_lexicon(fit(sample_words(df, text_col)), counted)
+    model.lost = lost_words(counted)
     return garbled_texts(df, id_col, text_col, model)
