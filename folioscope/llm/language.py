@@ -31,8 +31,8 @@ LONGEST = 4
 PROFILE = 600
 #: n-grams of a sentence that are compared, the most frequent first.
 COMPARED = 300
-#: Rows per language at most that profiles are fitted on, taken by hash.
-SAMPLE_PER_LANGUAGE = 600
+#: Distinct texts per language at most that profiles are fitted on, taken by hash.
+SAMPLE_PER_LANGUAGE = 4000
 #: A sentence has at least this many words.
 SENTENCE_WORDS = 4
 #: Weight of the distance per n-gram against the price of a change of language.
@@ -187,15 +187,15 @@ def _count_grams(sample: DataFrame, profiles: Profiles | None) -> dict[str, list
 
 def fit_profiles(labelled: DataFrame, text_col: str, label_col: str, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[str]]:
     """Profiles of the languages that the labels name, from at most about
-    ``per_language`` rows each, taken by a hash of the text. Rows without text
+    ``per_language`` distinct texts each, taken by a hash of the text. Rows without text
     or label are not used."""
     rows = labelled.select(F.col(text_col).alias("text"), language_code(F.col(label_col)).alias("code")).filter("text is not null and code is not null")
-    counts = {r["code"]: r["count"] for r in rows.groupBy("code").count().collect()}
+    counts = {r["code"]: r["count"] for r in rows.groupBy("code").agg(F.count_distinct(F.xxhash64("text")).alias("count")).collect()}
     if not counts:
         return {}
     part = F.create_map(*(F.lit(x) for code, n in counts.items() for x in (code, min(1.0, per_language / n))))
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.try_element_at(part, F.col("code")) * 1_000_000)
-    sample = cut_lineage(sample.repartition(shuffle_width(rows.sparkSession)))
+    sample = cut_lineage(sample.dropDuplicates(["text", "code"]).repartition(shuffle_width(rows.sparkSession)))
     ranks = _count_grams(sample, None)
     for _ in range(REFITS):
         # a language that no row is found to have keeps its profile

@@ -201,3 +201,11 @@ def test_lexicon_counts_all_texts(spark, model):
     assert whole.lexicon["yağmur"] == 3 and "plain" not in whole.lexicon
     bad = " ".join([garble("yağmur", "utf-8>cp1252")] * 4)
     assert judge(model, bad)[0] is None and judge(whole, bad)[1] == "yağmur yağmur yağmur yağmur"
+
+
+@pytest.mark.parametrize("most", [4, 1000])
+def test_profiles_do_not_count_copies(spark, most):
+    rows = [(f"{line} {i}", code) for code in LINES for line in LINES[code] for i in range(6)]
+    plain = fit_profiles(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", most)
+    copies = fit_profiles(spark.createDataFrame(rows + rows[:1] * 200, "text string, lang string"), "text", "lang", most)
+    assert plain == copies
