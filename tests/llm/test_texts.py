@@ -6,8 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.llm import encoding_repair
 from folioscope.llm.cutoff import count_words, cut_rates, cut_records, ending, hard_limits, judge_words, read_endings, unclosed
-from folioscope.llm.encoding_repair import CHAINS, count_words, find_garbled, fit, garble, invert, judge, odd_words, with_lexicon
+from folioscope.llm.encoding_repair import CHAINS, find_garbled, fit, garble, invert, judge, odd_words, with_lexicon
 from folioscope.llm.labels import language_code
 from folioscope.llm.language import SENTENCE_WORDS, Profiles, fit_profiles, language_segments, sentences, text_languages, unnamed_languages
 
@@ -196,7 +197,7 @@ def test_letters_lost_to_question_marks(spark):
 def test_lexicon_counts_all_texts(spark, model):
     """A word and a character that the sample lacks are known from the rest."""
     texts = ["el río yağmur"] * 3 + [garble("yağmur", "utf-8>cp1252")] * 9 + ["plain words"]
-    whole = with_lexicon(model, count_words(spark.createDataFrame([(t,) for t in texts], "text string")))
+    whole = with_lexicon(model, encoding_repair.count_words(spark.createDataFrame([(t,) for t in texts], "text string")))
     assert "ğ" not in model.known and {"ğ", "í"} <= whole.known
     assert whole.lexicon["yağmur"] == 3 and "plain" not in whole.lexicon
     bad = " ".join([garble("yağmur", "utf-8>cp1252")] * 4)
