@@ -119,13 +119,17 @@ def display(text: Column, width: int = 80) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text)
 
 
-def shuffled_sentences(text: Column, seed: int = 42) -> Column:
-    """Sentences in an order that depends on the seed only; a text of one
-    sentence has its words turned round at the middle."""
-    sentences = F.filter(F.split(strip(text), r"(?<=[.!?])\s+"), lambda s: s != "")
-    keyed = F.transform(sentences, lambda s, i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), i, s)).alias("k"), s.alias("s")))
+def shuffled_sentences(text: Column, seed: int = 42, variant: Column | None = None) -> Column:
+    """Sentences in an order that depends on the seed and the number of the
+    ``variant`` (0 by default) only; a text of one sentence has its words turned
+    round at the middle, in every variant. Null stays null."""
+    variant = F.lit(0) if variant is None else variant
+    sentences = F.filter(F.split(strip(text), rf"(?<=[.!?])[{SPACE}]+"), lambda s: s != "")
+    keyed = F.transform(sentences, lambda s, i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), variant, i, s)).alias("k"), s.alias("s")))
     mixed = F.array_join(F.transform(F.array_sort(keyed), lambda x: x["s"]), " ")
-    words = word_list(text)
-    half = F.floor(F.size(words) / 2).cast("int")
-    turned = F.array_join(F.concat(F.slice(words, half + 1, F.size(words)), F.slice(words, F.lit(1), half)), " ")
-    return F.when(F.size(sentences) > 1, mixed).otherwise(turned)
+
+    def turned(words: Column) -> Column:
+        half = F.floor(F.size(words) / 2).cast("int")
+        return F.array_join(F.concat(F.slice(words, half + 1, F.size(words)), F.slice(words, F.lit(1), half)), " ")
+
+    return F.when(F.size(sentences) > 1, mixed).otherwise(bind(word_list(text), turned))

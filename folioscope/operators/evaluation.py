@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ngrams import windows
 from ..functions.text import word_count, word_list
+from ..session import cut_lineage
 from .ranking import average_rank, value_ranks, values_at
 
 REDUNDANT, INDEPENDENT = 0.7, 0.3
@@ -47,6 +49,33 @@ def length_stats(df: DataFrame, text: str, keys: list[str] | None = None) -> Dat
     return _group(df, keys or [], [F.avg(words).alias("avg_words"), F.min(words).alias("min_words"), F.max(words).alias("max_words")])
 
 
+def style_report(df: DataFrame, text: str, score: str | None = None, keys: list[str] | None = None, loss: str | None = None, tokens: str | None = None) -> DataFrame:
+    """All style metrics of each group in one row: ``distinct_1``, ``distinct_2``,
+    words, with ``score`` its statistics, with ``loss`` and ``tokens`` the
+    perplexity. Without rows there is one row with distinct_1 = distinct_2 = 0
+    and nulls (no row at all with ``keys``). Null texts have no words."""
+    keys = keys or []
+    parts = [distinct_n(df, text, 1, keys), distinct_n(df, text, 2, keys), length_stats(df, text, keys)]
+    if score is not None:
+        parts.append(style_stats(df, score, keys))
+    if loss is not None and tokens is not None:
+        parts.append(perplexity(df, loss, tokens, keys))
+    out = parts[0]
+    for part in parts[1:]:
+        renamed = part.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in part.columns if c not in keys))
+        on = F.lit(True)
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        out = (out.join(renamed, on) if keys else out.join(F.broadcast(renamed))).drop(*(f"__k{i}" for i in range(len(keys))))  # one row each without keys
+    return out
+
+
+def judge_stats(df: DataFrame, score: str, keys: list[str] | None = None) -> DataFrame:
+    """``judge_mean, judge_std`` (population) and ``n_judged`` of scores; groups
+    without any score are left out."""
+    return _group(df.filter(F.col(score).isNotNull()), keys or [], [F.avg(score).alias("judge_mean"), F.stddev_pop(score).alias("judge_std"), F.count(F.lit(1)).alias("n_judged")])
+
+
 def perplexity(df: DataFrame, loss: str, tokens: str, keys: list[str] | None = None) -> DataFrame:
     """exp of the token-weighted mean loss; infinite without tokens."""
     mean = F.try_divide(F.sum(F.col(loss) * F.col(tokens)), F.sum(tokens))
@@ -59,9 +88,12 @@ def length_report(df: DataFrame, language: str, words: str, tokens: str, budget:
     stats = df.groupBy(language).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col(words) > 0, F.col(tokens) / F.col(words))).alias("tokens_per_word"), F.max(tokens).alias("max_tokens"), (F.count_if(F.col(tokens) > budget) / F.count(F.lit(1))).alias("over_budget")
     )
-    by_words = values_at(df, words, {"median_words": 0.5}, [language])
-    by_tokens = values_at(df, tokens, {"median_tokens": 0.5, "p90_tokens": 0.9}, [language])
-    return stats.join(by_words, language).join(by_tokens, language)
+    # both measures are ranked together
+    long = df.select(language, F.explode(F.array(F.struct(F.lit("w").alias("k"), F.col(words).cast("long").alias("v")), F.struct(F.lit("t").alias("k"), F.col(tokens).cast("long").alias("v")))).alias("m")).select(language, "m.*")
+    picked = values_at(long, "v", {"median": 0.5, "p90": 0.9}, [language, "k"])
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    wide = picked.groupBy(F.col(language).alias("__language")).agg(pick("w", "median").cast(dict(df.dtypes)[words]).alias("median_words"), pick("t", "median").alias("median_tokens"), pick("t", "p90").alias("p90_tokens"))
+    return stats.join(wide, F.col(language).eqNullSafe(F.col("__language")), "left").drop("__language")
 
 
 def unpivot(df: DataFrame, keys: list[str], metrics: str) -> DataFrame:
@@ -76,6 +108,36 @@ def metric_deltas(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return joined.withColumn("delta", delta).withColumn("verdict", delta_verdict(F.col("metric"), delta))
 
 
+def run_metric_diff(a: DataFrame, b: DataFrame, keys: list[str], base: str, new: str) -> DataFrame:
+    """``keys, metric, base_a, new_a, base_b, new_b, delta, verdict``: runs of two
+    sides compared by ``keys``. The metrics are the union of both sides' ``new``
+    maps; those without a value on both sides drop out. The ``base`` values are
+    looked up and may be null. Several runs of one key are not told apart: name
+    one per key."""
+    sides = []
+    for run, side in ((a, "a"), (b, "b")):
+        metric = F.explode(F.map_keys(F.coalesce(F.col(new), F.create_map().cast("map<string,double>")))).alias("metric")
+        sides.append(run.select(*keys, base, new, metric).select(*keys, "metric", F.try_element_at(base, F.col("metric")).alias(f"base_{side}"), F.try_element_at(new, F.col("metric")).alias(f"new_{side}")))
+    union = sides[0].join(sides[1], [*keys, "metric"], "full").filter("new_a is not null and new_b is not null")
+    delta = F.col("new_b") - F.col("new_a")
+    return union.select(*keys, "metric", "base_a", "new_a", "base_b", "new_b", delta.alias("delta")).withColumn("verdict", delta_verdict(F.col("metric"), F.col("delta")))
+
+
+def ranked_models(df: DataFrame, score: str, positive: str, model: str) -> DataFrame:
+    """``model, auc, place``: models by AUC, the best first; equal ones by name.
+    Models without both classes come last, with a null AUC."""
+    aucs = roc_auc(df, score, positive, [model])
+    # one row per model
+    return aucs.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.round("auc", 12)), model)))
+
+
+def metrics_report(row: dict) -> str:
+    """A readable report of one :func:`binary_metrics` row, with ``auc`` where it
+    is there."""
+    names = [("accuracy", "Accuracy"), ("precision", "Precision"), ("recall", "Recall"), ("f1", "F1"), ("auc", "AUC")]
+    return "\n".join([f"texts {row['n']}", *(f"{label:<10} {row[name]:.4f}" for name, label in names if row.get(name) is not None)])
+
+
 def delta_verdict(metric: Column, delta: Column) -> Column:
     better = F.when(metric.isin(HIGHER_IS_BETTER), delta > 0).otherwise(delta < 0)
     return F.when(F.abs(delta) < 1e-6, "same").when(better, "better").otherwise("worse")
@@ -104,24 +166,36 @@ def change_counts(compared: DataFrame) -> DataFrame:
 def correlate(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: means, population stds, how often both are active, Pearson and
     Spearman, and the verdict. Below three rows the verdict is ``none``; a side
-    without spread makes it ``flat``, with null correlations."""
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
-    ranked = average_rank(average_rank(rows, "x", [], "rx"), "y", [], "ry")
-
-    def pearson(a: str, b: str) -> Column:
-        spread = F.stddev_pop(a) * F.stddev_pop(b)
-        flat = (F.max(a) == F.min(a)) | (F.max(b) == F.min(b))
-        return F.when(flat, F.lit(None)).otherwise(F.try_divide(F.covar_pop(a, b), spread))
-
-    both, either = F.count_if((F.col("x") > 0) & (F.col("y") > 0)), F.count_if((F.col("x") > 0) | (F.col("y") > 0))
-    flat = (F.max("x") == F.min("x")) | (F.max("y") == F.min("y"))
-    stats = ranked.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.stddev_pop("x").alias("std_x"), F.stddev_pop("y").alias("std_y"), both.alias("both_active"),
-        F.coalesce(F.try_divide(both, either), F.lit(0.0)).alias("co_activation"), pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"), flat.alias("__flat"),
+    without spread makes it ``flat``, with null correlations. Rows with a null
+    on either side are left out."""
+    return correlations(df, [(x, y)]).drop("x", "y")
+
+
+def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``x, y`` and what :func:`correlate` gives of each pair of columns, in one
+    pass over the rows: they are counted by pair and values, and all that
+    follows works on the counts. A pair without rows has a row with ``n`` 0."""
+    one = lambda i, x, y: F.struct(F.lit(i).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    long = df.select(F.explode(F.array(*(one(i, x, y) for i, (x, y) in enumerate(pairs)))).alias("r")).select("r.*").filter("x is not null and y is not null")
+    counts = cut_lineage(long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+    ranked = average_rank(average_rank(counts, "x", ["pair"], "rx", "w"), "y", ["pair"], "ry", "w")
+    mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(f"mean_{c}")
+    means = F.broadcast(ranked.groupBy("pair").agg(*(mean(c) for c in ("x", "y", "rx", "ry"))))  # one row per pair
+    centred = ranked.join(means, "pair").withColumns({f"d_{c}": F.col(c) - F.col(f"mean_{c}") for c in ("x", "y", "rx", "ry")})
+    moment = lambda a, b: F.sum(F.col(f"d_{a}") * F.col(f"d_{b}") * F.col("w")) / F.sum("w")
+    flat = lambda c: F.max(c) == F.min(c)
+    pearson = lambda a, b: F.when(flat("x") | flat("y"), F.lit(None)).otherwise(F.try_divide(moment(a, b), F.sqrt(moment(a, a)) * F.sqrt(moment(b, b))))
+    times = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("w"))), F.lit(0))
+    both, either = times((F.col("x") > 0) & (F.col("y") > 0)), times((F.col("x") > 0) | (F.col("y") > 0))
+    stats = centred.groupBy("pair").agg(
+        F.sum("w").alias("n"), F.first("mean_x").alias("mean_x"), F.first("mean_y").alias("mean_y"), F.sqrt(moment("x", "x")).alias("std_x"), F.sqrt(moment("y", "y")).alias("std_y"), both.alias("both_active"),
+        F.coalesce(F.try_divide(both, either), F.lit(0.0)).alias("co_activation"), pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"), (flat("x") | flat("y")).alias("__flat"),
     )
     strongest = F.greatest(F.abs("pearson"), F.abs("spearman"))
     verdict = F.when(F.col("n") < 3, "none").when(F.col("__flat"), "flat").when(strongest >= REDUNDANT, "redundant").when(strongest <= INDEPENDENT, "independent").otherwise("entangled")
-    return stats.withColumn("verdict", verdict).drop("__flat")
+    names = df.sparkSession.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "pair int, x string, y string")
+    out = F.broadcast(names).join(stats, "pair", "left").fillna(0, ["n", "both_active"]).fillna(0.0, ["co_activation"])
+    return out.withColumn("verdict", verdict).drop("pair", "__flat")
 
 
 def probe_summary(df: DataFrame, category: str, score: str, control: str = "control") -> DataFrame:
@@ -143,11 +217,10 @@ def roc_auc(df: DataFrame, score: str, positive: str, keys: list[str] | None = N
     """``auc`` by rank sum, ties sharing ranks; null with one class only."""
     keys = keys or []
     rows = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()).select(*keys, F.col(score).alias("__score"), F.col(positive).alias("__positive"))
-    counts = rows.groupBy(*keys, "__score").agg(F.count_if("__positive").alias("__p"))
-    joined = value_ranks(rows, "__score", keys).join(counts, [*keys, "__score"])
+    ranks = value_ranks(rows, "__score", keys, sums={"__p": F.count_if("__positive")})
     p, total = F.sum("__p"), F.sum("n")
     auc = F.try_divide(F.sum(F.col("avg_rank") * F.col("__p")) - p * (p + 1) / 2, p * (total - p))
-    return _group(joined, keys, [auc.alias("auc")])
+    return _group(ranks, keys, [auc.alias("auc")])
 
 
 def binary_metrics(df: DataFrame, prob: str, label: str, threshold: float = 0.5, keys: list[str] | None = None) -> DataFrame:

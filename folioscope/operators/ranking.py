@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage, shuffle_width
+
 
 def seeded_hash(seed: int, *keys: str) -> Column:
     """Hex MD5 of the seed and the keys: the same order on any engine."""
@@ -32,38 +34,74 @@ def hash_rank(df: DataFrame, groups: list[str], order: Column, tie: str, name: s
     return joined.drop("__h", "__p", "__q", "__start", "__r", *(f"__g{i}" for i in range(len(groups))))
 
 
-def value_ranks(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """``groups, value, n, avg_rank, total``: average ranks (from 1, ties share
+def _on(left: DataFrame, groups: list[str], prefix: str) -> Column:
+    """Null-safe equality of ``groups`` with the columns ``<prefix>0``, ..."""
+    on = F.lit(True)
+    for i, g in enumerate(groups):
+        on = on & left[g].eqNullSafe(F.col(f"{prefix}{i}"))
+    return on
+
+
+def _counted(df: DataFrame, value: str, groups: list[str], weight: str | None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``groups, value, n`` and ``sums`` of each distinct value, in ranges: with
+    ``__to``, how many rows of the group are at or below the value, and
+    ``total``, how many it has.
+
+    The distinct values are range-partitioned, summed up per range and written
+    once; a table of one entry per group and range gives each range its start.
+    So no window holds more than a range, however many values there are.
+    """
+    spark = df.sparkSession
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(n.alias("n"), *(c.alias(k) for k, c in (sums or {}).items()))
+    ranged = cut_lineage(counts.repartitionByRange(shuffle_width(spark), *groups, value).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*groups, "__part").agg(F.sum("n").alias("n"))
+    parts = sizes.groupBy(*groups).agg(F.collect_list(F.struct("__part", "n")).alias("__parts"), F.sum("n").alias("total"))  # at most one entry per range
+    parts = parts.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)), "__parts", "total")
+    inside = Window.partitionBy(*groups, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.withColumn("__to", F.sum("n").over(inside))
+    joined = joined.join(parts, _on(joined, groups, "__g")) if groups else joined.join(F.broadcast(parts))  # one row without groups
+    before = F.aggregate(F.filter("__parts", lambda x: x["__part"] < F.col("__part")), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return joined.withColumn("__to", F.col("__to") + before).drop("__part", "__parts", *(f"__g{i}" for i in range(len(groups))))
+
+
+def value_ranks(df: DataFrame, value: str, groups: list[str] | None = None, weight: str | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``groups, value, n, total, avg_rank``: average ranks (from 1, ties share
     the mean) of each distinct value, from counts per value; the rows
-    themselves are never sorted. Null values are left out."""
-    groups = groups or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    window = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    upto = F.sum("n").over(window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(window)
-    return counts.withColumn("__u", upto).withColumn("total", total).withColumn("avg_rank", F.col("__u") - (F.col("n") - 1) / 2).drop("__u")
+    themselves are never sorted. A row counts ``weight`` times (once by
+    default); ``sums`` are further aggregates per value. Null values are left
+    out; null groups are groups."""
+    ranked = _counted(df, value, groups or [], weight, sums)
+    return ranked.withColumn("avg_rank", F.col("__to") - (F.col("n") - 1) / 2).drop("__to")
 
 
 def values_at(df: DataFrame, value: str, fractions: dict[str, float], groups: list[str] | None = None, last: bool = True) -> DataFrame:
     """``groups`` and for each name the value at index ``int(n * fraction)`` of
     the sorted values (``last``: at most the last one), from counts per value."""
     groups = groups or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    window = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("__to", F.sum("n").over(window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__total", F.sum("n").over(window))
+    ranked = _counted(df, value, groups, None)
     picks = []
     for name, fraction in fractions.items():
-        index = F.floor(F.col("__total") * F.lit(fraction))
-        index = F.least(index, F.col("__total") - 1) if last else index
+        index = F.floor(F.col("total") * F.lit(fraction))
+        index = F.least(index, F.col("total") - 1) if last else index
         picks.append(F.min(F.when(F.col("__to") > index, F.col(value))).alias(name))
     return ranked.groupBy(*groups).agg(*picks) if groups else ranked.agg(*picks)
 
 
-def average_rank(df: DataFrame, value: str, groups: list[str], name: str) -> DataFrame:
-    """Adds the average rank of each row's value within its group."""
-    ranks = value_ranks(df, value, groups)
-    renamed = ranks.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)), F.col(value).alias("__v"), F.col("avg_rank").alias(name))
-    on = df[value] == renamed["__v"]
-    for i, g in enumerate(groups):
-        on = on & df[g].eqNullSafe(renamed[f"__g{i}"])
-    return df.join(renamed, on, "left").drop("__v", *(f"__g{i}" for i in range(len(groups))))
+def average_rank(df: DataFrame, value: str, groups: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """Adds the average rank of each row's value within its group.
+
+    Values that hold more than a range's share of their group are few (at most
+    one per range and group) and their ranks are broadcast; the rows that they
+    match are spread over the join for the other values, so no value makes a
+    hot key."""
+    width = shuffle_width(df.sparkSession)
+    ranks = value_ranks(df, value, groups, weight).select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)), F.col(value).alias("__v"), "n", "total", F.col("avg_rank").alias(name))
+    ranks = ranks.withColumn("__hot", F.col("n") * width > F.col("total"))
+    extra = ["__v", *(f"__g{i}" for i in range(len(groups)))]
+    hot = ranks.filter("__hot").select(*extra, F.col(name).alias("__rank"))
+    marked = df.join(F.broadcast(hot), (df[value] == hot["__v"]) & _on(df, groups, "__g"), "left").drop(*extra)
+    salted = marked.withColumn("__salt", F.when(F.col("__rank").isNull() & F.col(value).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*df.columns), F.lit(width))).cast("int"))
+    cold = ranks.filter(~F.col("__hot")).select(*extra, F.col("__hot").cast("int").alias("__cold"), name)
+    joined = salted.join(cold, (salted["__salt"] == cold["__cold"]) & (salted[value] == cold["__v"]) & _on(salted, groups, "__g"), "left")
+    return joined.withColumn(name, F.coalesce("__rank", name)).drop("__rank", "__salt", "__cold", *extra)
