@@ -22,10 +22,11 @@ def reference_ngrams(df: DataFrame, text: str, n: int = 8, label: str | None = "
 
 def reference_copy(df: DataFrame, key: str, text: str, reference: DataFrame, n: int = 8) -> DataFrame:
     """(key, reference_copy): part of each text's distinct n-grams that stand in
-    the reference; 0 for texts without one. A shuffled join on the n-gram,
-    which AQE broadcasts where the reference is small."""
+    the reference; 0 for texts without one. A sort-merge join on the n-gram by
+    hint: sizes are guessed from the files, and a text's n-grams hold several
+    times its bytes, so a reference taken for small would go through the driver."""
     grams = df.select(key, F.explode_outer(ngrams(content_tokens(F.col(text)), n)).alias("gram"))
-    marked = grams.join(reference.withColumn("__hit", F.lit(1)), "gram", "left")
+    marked = grams.join(reference.withColumn("__hit", F.lit(1)).hint("merge"), "gram", "left")
     return marked.groupBy(key).agg(F.coalesce(F.try_divide(F.count("__hit"), F.count("gram")), F.lit(0.0)).alias("reference_copy"))
 
 

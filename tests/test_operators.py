@@ -207,6 +207,15 @@ def test_mean_pool_takes_all_vectors(spark, tmp_path):
     assert got == {(0, 0): 3.0, (0, 1): 5.0, (1, 0): 8.0, (1, 1): 0.0}
 
 
+def test_reference_is_not_sent_through_the_driver(spark, tmp_path):
+    words = "uno dos tres cuatro cinco seis siete ocho nueve diez"
+    spark.createDataFrame([(1, words), (2, words + " once doce"), (3, None)], "i int, x string").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))  # a file's size is known to the planner
+    copies = scoring.reference_copy(texts, "i", "x", scoring.reference_ngrams(texts.filter("i = 1"), "x"))
+    assert "BroadcastExchange" not in copies._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.reference_copy for r in copies.collect()} == {1: 1.0, 2: 0.6, 3: 0.0}
+
+
 class Length:
     def predict(self, texts):
         return [len(t) / 10 for t in texts]
