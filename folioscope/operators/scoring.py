@@ -33,10 +33,11 @@ def reference_copy(df: DataFrame, key: str, text: str, reference: DataFrame, n:
 def score(df: DataFrame, key: str, text: str, prompt: str, prob: str, tokens: Column, reference: DataFrame | None = None, config: RewardConfig = RewardConfig()) -> DataFrame:
     """Adds the weighted components, ``raw_style_prob`` and ``total``. ``tokens``
     counts the policy tokenizer's tokens. A null prompt is no prompt, a null
-    text an empty one; a null probability leaves the score null."""
+    text an empty one; a null probability leaves the score null. The copies have
+    a row for each row scored, so they too are joined without the driver."""
     if reference is not None and config.reference_weight:
         copies = reference_copy(df, key, text, reference, config.reference_ngram).withColumnRenamed(key, "__key")
-        df = df.join(copies, df[key] == F.col("__key"), "left").withColumn("__ref", F.coalesce("reference_copy", F.lit(0.0))).drop("__key", "reference_copy")
+        df = df.join(copies.hint("merge"), df[key] == F.col("__key"), "left").withColumn("__ref", F.coalesce("reference_copy", F.lit(0.0))).drop("__key", "reference_copy")
     else:
         df = df.withColumn("__ref", F.lit(0.0))
     tokenised = df.withColumns({"__seed": content_tokens(F.coalesce(prompt, F.lit(""))), "__text": content_tokens(F.coalesce(text, F.lit("")))})

@@ -216,6 +216,15 @@ def test_reference_is_not_sent_through_the_driver(spark, tmp_path):
     assert {r.i: r.reference_copy for r in copies.collect()} == {1: 1.0, 2: 0.6, 3: 0.0}
 
 
+def test_scoring_sends_nothing_through_the_driver(spark, tmp_path):
+    words = "uno dos tres cuatro cinco seis siete ocho nueve diez"
+    spark.createDataFrame([(1, words, 0.5), (2, "otras palabras", 0.5)], "i int, x string, p double").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    scored = scoring.score(texts.withColumn("q", F.lit("q")), "i", "x", "q", "p", F.lit(60), scoring.reference_ngrams(texts, "x"))
+    assert "BroadcastExchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.reference_copy_penalty for r in scored.collect()} == {1: 0.15, 2: 0.0}
+
+
 class Length:
     def predict(self, texts):
         return [len(t) / 10 for t in texts]
