@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import author_key, choose, connected, file_key, grouped_splits, plan_splits, record_keys, related_groups, tied_records
-from folioscope.llm.cross_split import alike, common_words, cross_split_pairs, cross_split_report, shared_grams
+from folioscope.llm.cross_split import alike, candidate_classes, common_words, cross_split_pairs, cross_split_report, shared_grams, text_classes
 from folioscope.llm.long_spans import _covers, difference_cover, shared_part, shared_stretches
 from folioscope.llm.words import canonical_words
 
@@ -67,6 +67,18 @@ def test_pairs_with_words_dropped_and_inserted(spark, n):
     assert len(want) == 40 and want <= {tuple(r) for r in got.collect()}
 
 
+def test_texts_of_the_same_phrases_are_few_candidates(spark):
+    """Texts made of the same 34 phrases share rare words, but few are alike."""
+    rnd = random.Random(3)
+    phrases = [[f"p{k}w{i}" for i in range(4)] for k in range(34)]
+    texts = [" ".join(w for k in rnd.sample(range(34), 18) for w in phrases[k]) for _ in range(200)]
+    texts[100:110] = [t + " end" for t in texts[:10]]
+    df = spark.createDataFrame([(i, t, "train" if i < 100 else "test") for i, t in enumerate(texts)], "sample_id long, text string, split string")
+    classes = text_classes(df, "sample_id", "text", "split", "train", ["test"])[1]
+    assert 10 <= candidate_classes(classes).count() <= 100
+    assert sorted(tuple(r) for r in cross_split_pairs(df, "sample_id", "text", "split").collect()) == [(i, 100 + i) for i in range(10)]
+
+
 def test_report(spark, samples):
     df = spark.createDataFrame(samples, "sample_id long, text string, split string, words string")
     manifest = spark.sql("select named_struct('train', named_struct('positive', 7, 'negative', 1)) as counts_per_class union all select null")
